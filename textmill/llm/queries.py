@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup
+from . import fingerprints, langid, near_dup, quality
 from .shared import table
 
 
@@ -12,8 +12,23 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE = {
@@ -29,8 +44,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-r AS (SELECT doc_id, doc_id AS at FROM t UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.at),
-c AS (SELECT doc_id, min(at) AS component_id FROM r GROUP BY 1)
+r AS (SELECT doc_id, doc_id AS node FROM t UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.node),
+c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY 1)
 SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.component_id = t.doc_id AS kept
 FROM t LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """,
