@@ -9,15 +9,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir). Only where the
+    session names none, as in tests, one is made here."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="textmill-checkpoint-"))
+        named = sc.getCheckpointDir()
+    elif sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return str(named).rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the folder that all executors share.
-
-    The folder is the cluster's own (spark.checkpoint.dir). Only where none is
-    set, as in tests, one is made here."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="textmill-checkpoint-")
-        sc.setCheckpointDir(folder)
+    """df, computed once and written to the folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
