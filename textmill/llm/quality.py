@@ -133,7 +133,9 @@ def fit(strings: pa.Array, labels: np.ndarray, odds: float | None = None, epochs
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return QualityModel(np.zeros(DIM), np.ones(DIM), constant=float(y.mean()) if len(y) else 1.0)
-    x, bounds = passages(strings)
+    parts = [passages(b.column(0)) for b in B.slices([pa.RecordBatch.from_arrays([strings.combine_chunks() if isinstance(strings, pa.ChunkedArray) else strings], names=["text"])])]
+    x = np.concatenate([v for v, _ in parts])
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))])
     mean = x.mean(0)
     scale = 1 / (x.std(0) + 0.02)
     x = ((x - mean) * scale).astype(np.float32)
