@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trim, words
+from .text import let, trim, words
 
 _NONE = "array<string>"
 
@@ -26,9 +26,13 @@ def windows(w: Column, size: int, overlap: int) -> Column:
     """Windows of `size` words, each beginning `size - overlap` after the one before;
     the first that reaches the end is the last."""
     step = size - overlap
-    last = F.ceil(F.greatest(F.size(w) - size, F.lit(0)) / F.lit(step)).cast("int")
-    made = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
-    return F.when(F.size(w) > 0, made).otherwise(F.array().cast(_NONE))
+
+    def cut(w: Column) -> Column:
+        last = F.ceil(F.greatest(F.size(w) - size, F.lit(0)) / F.lit(step)).cast("int")
+        made = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+        return F.when(F.size(w) > 0, made).otherwise(F.array().cast(_NONE))
+
+    return let(w, cut)
 
 
 def chunk_line(text: Column, size: int = 512, overlap: int = 64) -> Column:
@@ -71,8 +75,10 @@ def pack(units: Column, size: int, overlap: int) -> Column:
     flush = lambda out, now: F.when(F.size(now) > 0, F.concat(out, F.array(F.array_join(now, " ")))).otherwise(out)
 
     def step(acc: Column, unit: Column) -> Column:
+        return let(words(unit), lambda w: add(acc, w))
+
+    def add(acc: Column, w: Column) -> Column:
         out, now = acc["out"], acc["now"]
-        w = words(unit)
         n, have = F.size(w), F.size(now)
         carried = F.slice(now, F.greatest(have - overlap, F.lit(0)) + 1, overlap) if overlap else empty
         return (

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import W, normalize_whitespace, round3, word_count
+from .text import W, let, normalize_whitespace, round3
 
 TERMS = ("home", "login", "sign in", "privacy policy", "terms of service", "contact", "copyright")
 TERMS_NEEDED = 4
@@ -26,12 +26,15 @@ def length_score(tokens: Column) -> Column:
 
 def density_score(text: Column) -> Column:
     """Share of distinct words, and how long words are."""
-    flat = normalize_whitespace(text)
-    n = word_count(text).cast("double")
-    distinct = F.size(F.array_distinct(F.split(F.lower(flat), " "))).cast("double")
-    letters = F.length(F.replace(flat, F.lit(" "), F.lit(""))).cast("double")
-    raw = distinct / n * 0.7 + F.least(letters / n / 5.0, F.lit(1.0)) * 0.3
-    return F.when(flat == "", 0.0).otherwise(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
+
+    def density(flat: Column) -> Column:
+        letters = F.length(F.replace(flat, F.lit(" "), F.lit(""))).cast("double")
+        n = F.length(flat).cast("double") - letters + 1.0
+        distinct = F.size(F.array_distinct(F.split(F.lower(flat), " "))).cast("double")
+        raw = distinct / n * 0.7 + F.least(letters / n / 5.0, F.lit(1.0)) * 0.3
+        return F.when(flat == "", 0.0).otherwise(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
+
+    return let(normalize_whitespace(text), density)
 
 
 def has_heading(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +27,12 @@ _DECODABLE = "&(#|[A-Za-z])"
 _UNSTABLE = r"[^\x{0}-\x{7F}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body uses it. A plain column
+    expression would be computed again for every element that a lambda visits."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim(text: Column) -> Column:
     """Without White_Space at either end."""
     return F.regexp_replace(text, f"^[{W}]+|[{W}]+$", "")
@@ -39,19 +45,23 @@ def normalize_whitespace(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text; none for a blank one."""
-    flat = normalize_whitespace(text)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    none = F.array().cast("array<string>")
+    return let(normalize_whitespace(text), lambda flat: F.when(flat == "", none).otherwise(F.split(flat, " ")))
+
+
+def _count(flat: Column) -> Column:
+    """Number of words of a text whose words are one space apart."""
+    spaces = lambda t: F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+    return let(flat, lambda t: F.when(t == "", 0).otherwise(spaces(t) + 1)).cast("long")
 
 
 def word_count(text: Column) -> Column:
-    flat = normalize_whitespace(text)
-    return F.when(flat == "", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return _count(normalize_whitespace(text))
 
 
 def python_word_count(text: Column) -> Column:
     """Number of words as Python's str.split counts them."""
-    flat = F.trim(F.regexp_replace(text, f"[{W_PY}]+", " "))
-    return F.when(flat == "", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return _count(F.trim(F.regexp_replace(text, f"[{W_PY}]+", " ")))
 
 
 def strip_markup(text: Column) -> Column:
@@ -94,10 +104,13 @@ def normalize_for_dedupe(text: Column) -> Column:
 def shingles(normalized: Column) -> Column:
     """The set of three-word shingles of a normalised text; of fewer words, the whole
     text; of an empty one, nothing."""
-    w = F.split(normalized, " ")
-    n = F.size(w)
-    several = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))
-    return F.when(normalized == "", F.array().cast("array<string>")).when(n < 3, F.array(normalized)).otherwise(several)
+    one = F.array(normalized)
+
+    def several(w: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.concat_ws(" ", w[i - 1], w[i], w[i + 1])))
+
+    made = let(F.split(normalized, " "), lambda w: F.when(F.size(w) < 3, one).otherwise(several(w)))
+    return F.when(normalized == "", F.array().cast("array<string>")).otherwise(made)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import chunking
-from ..functions.text import W_WIDE
+from ..functions.text import W_WIDE, let
 
 _PLACES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -22,12 +22,16 @@ def _found(text: Column, chunks: Column) -> Column:
     empty = F.array().cast(_PLACES)
     first = F.struct(F.lit(-1).cast("long").alias("prev"), empty.alias("out"))
 
+    return let(text, lambda text: F.aggregate(chunks, first, _step(text), lambda acc: acc["out"]))
+
+
+def _step(text: Column):
     def step(acc: Column, x: Column) -> Column:
         at = F.call_function("locate", x, text, (acc["prev"] + 2).cast("int")).cast("long") - 1
         place = F.struct(x.alias("text"), at.alias("start"), (at + F.char_length(x)).alias("end"))
         return F.struct(at.alias("prev"), F.concat(acc["out"], F.array(place)).alias("out"))
 
-    return F.aggregate(chunks, first, step, lambda acc: acc["out"])
+    return step
 
 
 def place_chunks(text: str, chunks: list[str]) -> list[tuple[str, int, int]]:
