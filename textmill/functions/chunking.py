@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .shipping import by_value
 from .text import let, trim, words
 
 _NONE = "array<string>"
@@ -184,7 +185,7 @@ def chunk_tokens(text: Column, tokenizer: Callable[[str], Iterable[object]], siz
     check_config(size, overlap)
     if not callable(tokenizer):
         raise TypeError("token mode needs a callable tokenizer")
-    budget = _TokenBudget(tokenizer, size, overlap)
+    budget = _TokenBudget(by_value(tokenizer), size, overlap)
 
     @F.pandas_udf("array<string>")
     def chunked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -16,8 +16,9 @@ W = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F
 #: What Python's str.split splits on: four separators more.
 W_PY = W + r"\x{1C}-\x{1F}"
 
-#: Either of them but the plain space.
-W_WIDE = r"\t-\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same without the plain space.
+W_BUT_SPACE = r"\t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+W_WIDE = W_BUT_SPACE + r"\x{1C}-\x{1F}"
 
 _MARKUP = "(?s)" + "|".join(
     [rf"<[{W}]*(?i:{name})(?:[{W}/][^>]*)?>(?:.*?</(?i:{name})[^>]*>|.*)" for name in ("script", "style")] + ["<[^>]*>"]
@@ -38,9 +39,15 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{W}]+|[{W}]+$", "")
 
 
+#: Runs of white space but the single plain space, which can stay as it is.
+_RUNS = f"[{W_BUT_SPACE}][{W}]*| [{W}]+"
+_RUNS_PY = f"[{W_WIDE}][{W_PY}]*| [{W_PY}]+"
+_KEPT = r"a-z0-9_\p{IsAlphabetic}\p{N}"
+
+
 def normalize_whitespace(text: Column) -> Column:
     """Words joined by single spaces."""
-    return F.trim(F.regexp_replace(text, f"[{W}]+", " "))
+    return F.trim(F.regexp_replace(text, _RUNS, " "))
 
 
 def words(text: Column) -> Column:
@@ -61,7 +68,7 @@ def word_count(text: Column) -> Column:
 
 def python_word_count(text: Column) -> Column:
     """Number of words as Python's str.split counts them."""
-    return _count(F.trim(F.regexp_replace(text, f"[{W_PY}]+", " ")))
+    return _count(F.trim(F.regexp_replace(text, _RUNS_PY, " ")))
 
 
 def strip_markup(text: Column) -> Column:
@@ -98,7 +105,7 @@ def clean(text: Column) -> Column:
 def normalize_for_dedupe(text: Column) -> Column:
     """Lower case; letters, digits and underscores kept, all else one space."""
     low = F.lower(F.translate(text, "Σ", "σ"))  # a final sigma isn't special here
-    return F.trim(F.regexp_replace(low, r"[^\p{IsAlphabetic}\p{N}_]+", " "))
+    return F.trim(F.regexp_replace(low, f"[^ {_KEPT}][^{_KEPT}]*| [^{_KEPT}]+", " "))
 
 
 def shingles(normalized: Column) -> Column:
@@ -145,4 +152,4 @@ def casefold(text: Column) -> Column:
 
 def normalized_hash(text: Column) -> Column:
     """Hash of the case-folded words; punctuation counts, unlike in dedupe."""
-    return F.sha2(F.trim(F.regexp_replace(casefold(text), f"[{W_PY}]+", " ")), 256)
+    return F.sha2(F.trim(F.regexp_replace(casefold(text), _RUNS_PY, " ")), 256)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..functions.shipping import by_value
 from ..functions.text import normalize_for_dedupe, word_count
 
 Scorers = list[tuple[str, float, Callable[[str], float]]]
@@ -55,6 +56,9 @@ def blend(base: float, text: str, scorers: Scorers) -> float:
 
 
 def _blended(scorers: Scorers):
+    for _, _, scorer in scorers:
+        by_value(scorer)
+
     @F.pandas_udf("double")
     def blended(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for base, text in batches:
