@@ -65,8 +65,9 @@ class LangModel:
     langs: list[str]
     p: dict = field(default_factory=dict)
 
-    def states(self, x: np.ndarray, way: str, keep: bool = False) -> tuple[np.ndarray, list]:
-        """The state after each of the steps of x (T, N): an array (T, H, N)."""
+    def states(self, x: np.ndarray, way: str, keep: bool = False, live: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """The state after each of the steps of x (T, N): an array (T, H, N). Where
+        `live` (T, N) is 0, at padding, the state stays 0."""
         p, n = self.p, x.shape[1]
         xw, hw, hb = p["xw" + way], p["hw" + way], p["hb" + way]
         H = hb.shape[0]
@@ -91,22 +92,25 @@ class LangModel:
             new = h - c
             new *= zr[:H]
             new += c
+            if live is not None:
+                new *= live[t]
             hs[t] = h = new
         return hs, saved
 
-    def probabilities_at(self, x: np.ndarray) -> tuple:
+    def probabilities_at(self, x: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
         """Probabilities (T, C, N) of the languages at each position of x (T, N)."""
         p = self.p
         e = p["outf"] @ self.states(x, "f")[0]
-        e += p["outb"] @ self.states(x, "b")[0]
+        e += p["outb"] @ self.states(x, "b", live=live)[0]
         return _softmax(e, p["bias"])
 
     def probabilities(self, x: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Sum over a window's positions of each language's probability: (N, C)."""
         xt = np.ascontiguousarray(x.T)
-        e = self.probabilities_at(xt)
-        if length.min() < len(xt):
-            e *= (np.arange(len(xt))[:, None] < length)[:, None, :]
+        live = (np.arange(len(xt))[:, None] < length).astype(np.float32) if length.min() < len(xt) else None
+        e = self.probabilities_at(xt, live)
+        if live is not None:
+            e *= live[:, None, :]
         return e.sum(0).T.astype(np.float64)
 
     def predict(self, strings: pa.Array, block: int = 2048) -> tuple[list[str], np.ndarray]:
@@ -117,8 +121,10 @@ class LangModel:
         x, length, owner = windows(data, off)
         # Full windows go together; the rest by length, so that few steps are padding.
         order = np.argsort(-length, kind="stable")
-        for at in range(0, len(order) if self.langs else 0, block):
-            pick = order[at : at + block]
+        full = int((length == WINDOW).sum())
+        starts = [*range(0, full, block), *range(full, len(order), block)] if self.langs else []
+        for at, end in zip(starts, [*starts[1:], len(order)]):
+            pick = order[at:end]
             most = int(length[pick[0]])
             np.add.at(total, owner[pick], self.probabilities(x[pick, :most], length[pick]))
         letters = np.zeros(texts, bool)
@@ -141,7 +147,7 @@ def _softmax(e: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return e
 
 
-def _backward(model: LangModel, x: np.ndarray, way: str, saved: list, dh_out: np.ndarray) -> dict:
+def _backward(model: LangModel, x: np.ndarray, way: str, saved: list, dh_out: np.ndarray, live: np.ndarray) -> dict:
     """Backpropagation through time of one direction; dh_out (T, H, N) is dloss/dstate."""
     hw = model.p["hw" + way]
     H = hw.shape[1]
@@ -150,7 +156,7 @@ def _backward(model: LangModel, x: np.ndarray, way: str, saved: list, dh_out: np
     into = np.empty((len(x), 3 * H, x.shape[1]), np.float32)
     steps = range(len(x)) if way == "f" else range(len(x) - 1, -1, -1)
     for t, (h, s, zr, inner, c) in zip(reversed(steps), reversed(saved)):
-        dh = dh + dh_out[t]
+        dh = (dh + dh_out[t]) * live[t]
         z, r = zr[:H], zr[H:]
         slope = 0.5 * (1 - np.abs(s)) ** 2
         dc = dh * (1 - z) * (1 - np.abs(c)) ** 2
@@ -176,7 +182,8 @@ def gradients(model: LangModel, x: np.ndarray, length: np.ndarray, y: np.ndarray
     """Mean cross-entropy of every position's label, and its gradients."""
     p = model.p
     xt = np.ascontiguousarray(x.T)
-    (hf, sf), (hb, sb) = model.states(xt, "f", True), model.states(xt, "b", True)
+    live = (np.arange(len(xt))[:, None] < length).astype(np.float32)
+    (hf, sf), (hb, sb) = model.states(xt, "f", True, live), model.states(xt, "b", True, live)
     e = _softmax(p["outf"] @ hf + p["outb"] @ hb, p["bias"])
     weight = ((np.arange(len(xt))[:, None] < length) / length.sum()).astype(np.float32)
     n = np.arange(len(y))
@@ -184,8 +191,8 @@ def gradients(model: LangModel, x: np.ndarray, length: np.ndarray, y: np.ndarray
     e[:, y, n] -= 1
     e *= weight[:, None, :]
     g = {"outf": np.einsum("tcn,thn->ch", e, hf, optimize=True), "outb": np.einsum("tcn,thn->ch", e, hb, optimize=True), "bias": e.sum((0, 2))[:, None]}
-    g |= _backward(model, xt, "f", sf, p["outf"].T @ e)
-    g |= _backward(model, xt, "b", sb, p["outb"].T @ e)
+    g |= _backward(model, xt, "f", sf, p["outf"].T @ e, live)
+    g |= _backward(model, xt, "b", sb, p["outb"].T @ e, live)
     return loss, g
 
 

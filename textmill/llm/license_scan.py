@@ -124,6 +124,9 @@ NEAR = [
     "See the file.",
 ]
 
+#: Pairs of these words are no evidence that a paragraph may be a licence.
+STOP = "a an and are as at be by for from if in is it may no not of on only or that the this to under was with you".split()
+
 
 def paragraph_words(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, the bounds of the paragraphs' words, each paragraph's text and its line."""
@@ -244,6 +247,8 @@ def fit(ordinary: list[str], seed: int = 23, epochs: int = 15, each: int = 20) -
     known = [(classes.index(name), " ".join(parts)) for name, all_ in TEMPLATES.items() for parts in all_]
     templates = [(c, g) for (c, _), g in zip(known, _of_texts([t for _, t in known], (2,))) if len(g)]
     bigrams = np.unique(np.concatenate([g for _, g in templates] + _of_texts(OTHER, (2,))))
+    common = np.unique(np.concatenate(_of_texts([f"{a} {b}" for a in STOP for b in STOP], (2,))))
+    bigrams = np.setdiff1d(bigrams, common)
     clean = [t for t, g in zip(ordinary, _of_texts(ordinary, (2,))) if not np.isin(g, bigrams).any() or all(np.isin(b, g).mean() < 0.5 for _, b in templates)]
     filler = [w for t in clean for w in t.split()[:20]] or "some words of ordinary text that say nothing about terms of use and were written by hand".split()
     texts, y = [], []
