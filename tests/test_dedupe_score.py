@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import textmill
+from textmill.operators import dedupe as D
 from textmill.operators.dedupe import dedupe
 from textmill.operators.score import blend, score
 from textmill.operators.tables import with_index
@@ -42,7 +43,11 @@ def scan(chunks, t, exact, normalized, near):
 
 
 @pytest.mark.parametrize("t,exact,normalized,near", [(0.9, True, True, True), (0.34, True, True, True), (0.5, False, False, True), (0.2, True, False, True), (0.0, False, True, True), (1.0, True, True, True), (0.9, True, False, False), (0.9, False, False, False)])
-def test_against_a_scan(spark, t, exact, normalized, near):
+@pytest.mark.parametrize("crowd", [100, 1])
+def test_against_a_scan(spark, monkeypatch, t, exact, normalized, near, crowd):
+    if crowd == 1 and (not near or t in (0.0, 1.0)):
+        pytest.skip("no bucket to be crowded")
+    monkeypatch.setattr(D, "CROWD", crowd)  # at 1, leaders settle every bucket
     rng = random.Random(int(t * 100) + exact)
     rows, want, base = [], [], 0
     for case in range(25):  # cases side by side, kept apart by the scope

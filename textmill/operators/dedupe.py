@@ -20,6 +20,8 @@ from .tables import checkpointed
 EPSILON = 1e-9
 #: Shingles of so many chunks come last in every prefix; at most HOT_LISTED are told apart.
 HOT, HOT_LISTED = 1000, 5000
+#: A prefix hash of more chunks than CROWD is settled by its leaders, in at most ROUNDS rounds.
+CROWD, ROUNDS = 100, 5
 
 
 def check_config(threshold: float, exact: bool, normalized: bool, near_duplicates: bool) -> None:
@@ -56,34 +58,72 @@ class Deduped:
         return both.groupBy(*self.scope).agg(F.count("*").alias("total"), (F.count("*") - gone).alias("retained_count"), gone.alias("duplicate_count"), F.coalesce(F.avg("gone"), F.lit(0.0)).alias("duplicate_ratio"))
 
 
-def near_pairs(chunks: DataFrame, threshold: float, scope: list[str] | None = None) -> DataFrame:
-    """All pairs a < b of rows (index, norm) whose shingle sets share at least one
-    member and have similarity >= threshold: a, b, similarity, and the scope.
+def _prefixes(chunks: DataFrame, threshold: float, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The shingle sets of rows (index, norm), and the hashes each is looked up by.
 
-    Sets of size n can only reach it if they share one of the first
+    Sets of size n can only reach the threshold if they share one of the first
     n - ceil(threshold * n) + 1 shingles of one global order. That order is by hash,
     after which come the shingles that very many chunks have, so a common phrase is
     in a prefix only where a chunk holds little else."""
-    scope = scope or []
-    sets = checkpointed(chunks.where("norm <> ''").select(*scope, "index", shingles(F.col("norm")).alias("set")).withColumn("n", F.size("set")))
-    t = float(threshold)
+    sets = checkpointed(chunks.where("norm <> ''").select(*by, "index", shingles(F.col("norm")).alias("set")).withColumn("n", F.size("set")))
     hashed = F.transform("set", lambda s: F.xxhash64(s))
     often = sets.select(F.explode(hashed).alias("h")).groupBy("h").count().where(F.col("count") > HOT).select("h")
     hot = [r.h for r in often.limit(HOT_LISTED).collect()]
     last = F.array(*map(F.lit, hot)).cast("array<bigint>")
     ordered = F.array_sort(F.transform(hashed, lambda h: F.struct((F.array_contains(last, h) if hot else F.lit(False)).alias("hot"), h.alias("h"))))
-    length = (F.col("n") - F.ceil(F.lit(t) * F.col("n") - EPSILON) + 1).cast("int")
+    length = (F.col("n") - F.ceil(F.lit(float(threshold)) * F.col("n") - EPSILON) + 1).cast("int")
     prefix = F.slice(ordered, 1, F.least(length, F.col("n")))
-    heads = sets.select(*scope, "index", "n", F.explode(prefix).alias("p")).select(*scope, "index", "n", "p.h")
-    left = heads.select(*scope, "h", F.col("index").alias("a"), F.col("n").alias("na"))
-    right = heads.select(*scope, "h", F.col("index").alias("b"), F.col("n").alias("nb"))
-    near = left.join(right, [*scope, "h"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - EPSILON))
-    pairs = near.select(*scope, "a", "b", "na", "nb").distinct()
-    sa = sets.select(*scope, F.col("index").alias("a"), F.col("set").alias("sa"))
-    sb = sets.select(*scope, F.col("index").alias("b"), F.col("set").alias("sb"))
-    full = pairs.join(sa, [*scope, "a"]).join(sb, [*scope, "b"]).withColumn("k", F.size(F.array_intersect("sa", "sb")))
+    return sets, sets.select(*by, "index", "n", F.explode(prefix).alias("p")).select(*by, "index", "n", "p.h")
+
+
+def _met(left: DataFrame, right: DataFrame, t: float, by: list[str]) -> DataFrame:
+    """Pairs a of left and b of right that share a prefix hash and are of like size."""
+    x = left.select(*by, "h", F.col("index").alias("a"), F.col("n").alias("na"))
+    y = right.select(*by, "h", F.col("index").alias("b"), F.col("n").alias("nb"))
+    return x.join(y, [*by, "h"]).where(F.least("na", "nb") >= t * F.greatest("na", "nb") - EPSILON)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: float, by: list[str]) -> DataFrame:
+    """a, b, similarity of the pairs (a, b, na, nb) whose full sets reach the threshold."""
+    pairs = pairs.select(*by, "a", "b", "na", "nb").distinct()
+    sa = sets.select(*by, F.col("index").alias("a"), F.col("set").alias("sa"))
+    sb = sets.select(*by, F.col("index").alias("b"), F.col("set").alias("sb"))
+    full = pairs.join(sa, [*by, "a"]).join(sb, [*by, "b"]).withColumn("k", F.size(F.array_intersect("sa", "sb")))
     similarity = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    return full.where("k > 0").select(*scope, "a", "b", similarity.alias("similarity")).where(F.col("similarity") >= t)
+    return full.where("k > 0").select(*by, "a", "b", similarity.alias("similarity")).where(F.col("similarity") >= t)
+
+
+def near_pairs(chunks: DataFrame, threshold: float, scope: list[str] | None = None) -> DataFrame:
+    """All pairs a < b of rows (index, norm) whose shingle sets share at least one
+    member and have similarity >= threshold: a, b, similarity, and the scope."""
+    by, t = scope or [], float(threshold)
+    sets, heads = _prefixes(chunks, t, by)
+    return _verified(_met(heads, heads, t, by).where("a < b"), sets, t, by)
+
+
+def _thinned(heads: DataFrame, sets: DataFrame, t: float, by: list[str]) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Settle crowded buckets without forming their pairs: what is left of heads, the
+    chunks surely kept and those surely removed (None where no bucket is crowded).
+
+    A chunk that is the earliest in every bucket it is in meets no earlier candidate,
+    so a scan keeps it; whatever in its buckets reaches the threshold with it is
+    removed. Both leave, in pairs linear in the buckets' sizes, and the next round
+    looks at the rest. A family of near copies is gone after its first member led."""
+    kept = removed = None
+    for _ in range(ROUNDS):
+        lead = heads.groupBy(*by, "h").agg(F.min(F.struct("index", "n")).alias("lo"), F.count("*").alias("c")).where("c > 1")
+        lead = checkpointed(lead)
+        if lead.where(F.col("c") > CROWD).isEmpty():
+            break
+        inside = heads.join(lead, [*by, "h"])
+        behind = inside.where(F.col("index") > F.col("lo.index")).select(*by, "index").distinct()
+        leaders = checkpointed(inside.where(F.col("index") == F.col("lo.index")).select(*by, "index").distinct().join(behind, [*by, "index"], "left_anti"))
+        led = lead.select(*by, "h", F.col("lo.index").alias("index"), F.col("lo.n").alias("n")).join(leaders, [*by, "index"])
+        hit = checkpointed(_verified(_met(led, heads, t, by).where("a < b"), sets, t, by).select(*by, F.col("b").alias("index")).distinct())
+        kept = leaders if kept is None else kept.union(leaders)
+        removed = hit if removed is None else removed.union(hit)
+        heads = checkpointed(heads.join(leaders.union(hit), [*by, "index"], "left_anti").select(*by, "index", "n", "h"))
+    return heads, kept, removed
 
 
 def first_independent(edges: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -126,10 +166,23 @@ def dedupe(chunks: DataFrame, near_duplicate_threshold: float = 0.9, exact: bool
     reps = keyed.where("index = _rep")
     same_text = F.sha2("text", 256) == F.col("_rep_text")
     rep_text = reps.select(*by, "_rep", F.sha2("text", 256).alias("_rep_text"))
-    edges = state = None
+    beside = None
     if near_duplicates:
-        edges = checkpointed(near_pairs(reps.select(*by, "index", F.col("_norm").alias("norm")), t, by))
-        state = first_independent(edges, by).withColumnRenamed("node", "_rep")
+        sets, heads = _prefixes(reps.select(*by, "index", F.col("_norm").alias("norm")), t, by)
+        rest, early, gone = _thinned(heads, sets, t, by)
+        edges = checkpointed(_verified(_met(rest, rest, t, by).where("a < b"), sets, t, by))
+        state = first_independent(edges, by)
+        lost = state.where("not kept").select(*by, F.col("node").alias("index"))
+        if gone is not None:
+            lost = checkpointed(lost.union(gone))
+            # What the removed ones resemble is looked for among all that are kept.
+            left = heads.join(lost, [*by, "index"], "left_anti")
+            beside = _verified(_met(heads.join(lost, [*by, "index"], "left_semi"), left, t, by), sets, t, by).withColumnsRenamed({"a": "_rep", "b": "r"})
+        else:
+            kept = state.where("kept").select(*by, F.col("node").alias("r"))
+            both = edges.select(*by, F.col("a").alias("_rep"), F.col("b").alias("r"), "similarity").union(edges.select(*by, F.col("b").alias("_rep"), F.col("a").alias("r"), "similarity"))
+            beside = both.join(kept, [*by, "r"])
+        state = lost.select(*by, F.col("index").alias("_rep"), F.lit(False).alias("kept"))
         keyed = keyed.join(state, [*by, "_rep"], "left").withColumn("_stays", F.coalesce("kept", F.lit(True))).drop("kept")
     else:
         keyed = keyed.withColumn("_stays", F.lit(True))
@@ -141,9 +194,6 @@ def dedupe(chunks: DataFrame, near_duplicate_threshold: float = 0.9, exact: bool
         kind = kind.when(F.col("_norm") != "", "normalized")
     copies = later.select(*by, "index", F.col("text").alias("chunk"), F.col("_rep").alias("retained_index"), kind.otherwise("near_duplicate").alias("kind"), F.lit(1.0).alias("similarity"))
     if near_duplicates:
-        kept = state.where("kept").select(*by, F.col("_rep").alias("r"))
-        both = edges.select(*by, F.col("a").alias("_rep"), F.col("b").alias("r"), "similarity").union(edges.select(*by, F.col("b").alias("_rep"), F.col("a").alias("r"), "similarity"))
-        beside = both.join(kept, [*by, "r"])
         best = keyed.where("not _stays").join(beside, [*by, "_rep"]).where("r < index").groupBy(*by, "index").agg(F.min(F.struct((-F.col("similarity")).alias("less"), F.col("r"))).alias("x"))
         near = keyed.where("not _stays").join(best, [*by, "index"]).select(*by, "index", F.col("text").alias("chunk"), F.col("x.r").alias("retained_index"), F.lit("near_duplicate").alias("kind"), round3(-F.col("x.less")).alias("similarity"))
         copies = copies.unionByName(near)
