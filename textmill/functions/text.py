@@ -11,21 +11,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Unicode White_Space, as the inside of a Java character class.
-W = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# A class tests its members one after another, so those beyond Latin-1 stand behind one
+# range that fails at once for most characters; single characters are tested together.
+_HIGH = r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
+#: Unicode White_Space but the plain space, as the inside of a Java character class.
+W_BUT_SPACE = r"\t\n\x0B\f\r\x85\xA0" + _HIGH
+#: Unicode White_Space.
+W = " " + W_BUT_SPACE
 #: What Python's str.split splits on: four separators more.
-W_PY = W + r"\x{1C}-\x{1F}"
-
-#: The same without the plain space.
-W_BUT_SPACE = r"\t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-W_WIDE = W_BUT_SPACE + r"\x{1C}-\x{1F}"
+W_WIDE = r"\x1C\x1D\x1E\x1F" + W_BUT_SPACE
+W_PY = " " + W_WIDE
 
 _MARKUP = "(?s)" + "|".join(
     [rf"<[{W}]*(?i:{name})(?:[{W}/][^>]*)?>(?:.*?</(?i:{name})[^>]*>|.*)" for name in ("script", "style")] + ["<[^>]*>"]
 )
 _DECODABLE = "&(#|[A-Za-z])"
 #: Characters that NFKC may change: all but ASCII and the composed Latin-1 letters.
-_UNSTABLE = r"[^\x{0}-\x{7F}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]"
+_UNSTABLE = r"[\x{80}-\x{10FFFF}&&[^\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,7 +44,7 @@ def trim(text: Column) -> Column:
 #: Runs of white space but the single plain space, which can stay as it is.
 _RUNS = f"[{W_BUT_SPACE}][{W}]*| [{W}]+"
 _RUNS_PY = f"[{W_WIDE}][{W_PY}]*| [{W_PY}]+"
-_KEPT = r"a-z0-9_\p{IsAlphabetic}\p{N}"
+_KEPT = r"a-z0-9_[\x{80}-\x{10FFFF}&&[\p{IsAlphabetic}\p{N}]]"
 
 
 def normalize_whitespace(text: Column) -> Column:
