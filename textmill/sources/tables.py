@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table. One that would be read in fewer tasks than there are cores, such as a
+    single file of one row group, is spread over them; a large one is read as it is."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def documents(df: DataFrame, text: str, key: str) -> DataFrame:
