@@ -8,6 +8,8 @@ the families) and `none`. The probabilities are calibrated by a temperature fitt
 on variants that the training didn't see. A predicted family is confirmed by
 comparison with its templates: enough of a template's bigrams must occur in the
 paragraph. A family that isn't confirmed, or not probable enough, is `unknown`.
+Notices that are wrapped over lines, or stand inside a long one, are looked for in
+overlapping windows of words.
 """
 
 from __future__ import annotations
@@ -124,6 +126,10 @@ NEAR = [
     "See the file.",
 ]
 
+#: Words in, and between the starts of, the windows that are laid over paragraphs.
+#: A notice of 15 words or fewer is whole in one of the first, of 32 in one of the second.
+WINDOWS = ((20, 5), (40, 8))
+
 #: Pairs of these words are no evidence that a paragraph may be a licence.
 STOP = "a an and are as at be by for from if in is it may no not of on only or that the this to under was with you".split()
 
@@ -211,19 +217,70 @@ class LicenseModel:
     def scan(self, strings: pa.Array) -> list[tuple[int, int, str, float, float]]:
         """Text number, line, class, probability and likeness of each licence paragraph."""
         h, bounds, text, line = paragraph_words(strings)
+        if len(h) == 0:
+            return []
         two, who = grams(h, bounds, (2,))
+        found = np.unique(who[self._is_evidence(two)])
+        hits = {int(p): c for p, c in zip(found, self._judged(h, [(bounds[p], bounds[p + 1]) for p in found])) if c[0] != NONE}
+        for p, c in self._across(h, bounds, text, line, hits):
+            hits[p] = c
+        return [(int(text[p]), int(line[p]), *hits[p]) for p in sorted(hits)]
+
+    def _is_evidence(self, two: np.ndarray) -> np.ndarray:
+        """Which of the bigrams are evidence: their places."""
         seen = np.zeros(1 << 16, bool)
         seen[(self.evidence >> B.U64(48)).astype(np.int64)] = True
         at = np.flatnonzero(seen[(two >> B.U64(48)).astype(np.int64)])
-        at = at[np.isin(two[at], self.evidence)]
-        found = np.unique(who[at])
+        return at[np.isin(two[at], self.evidence)]
+
+    def _judged(self, h: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[str, float, float]]:
         features, bigrams = [], []
-        for p in found:
-            own = h[bounds[p] : bounds[p + 1]]
+        for a, b in spans:
+            own = h[a:b]
             span = np.array([0, len(own)])
             features.append(np.unique(grams(own, span)[0]))
             bigrams.append(np.unique(grams(own, span, (2,))[0]))
-        return [(int(text[p]), int(line[p]), *c) for p, c in zip(found, self.classify(features, bigrams)) if c[0] != NONE]
+        return self.classify(features, bigrams)
+
+    def _across(self, h: np.ndarray, bounds: np.ndarray, text: np.ndarray, line: np.ndarray, hits: dict[int, tuple[str, float, float]]) -> list[tuple[int, tuple[str, float, float]]]:
+        """Confirmed notices that are wrapped over lines, up to a blank one, or stand in
+        a long line: the paragraph in which each begins. Lines that such a notice covers
+        and that are `unknown` leave `hits`."""
+        first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (line[1:] - line[:-1] > 1)]))
+        edge = np.append(bounds[first], len(h))
+        pairs = B.pair_hash(B.mix(h)[:-1], h[1:])
+        at = self._is_evidence(pairs)
+        block = np.searchsorted(edge, at, "right") - 1
+        inside = at + 1 < edge[block + 1]
+        spans = set()
+        for i, k in zip(at[inside].tolist(), block[inside].tolist()):
+            a, b = int(edge[k]), int(edge[k + 1])
+            if b - a <= WINDOWS[0][0] and bounds[np.searchsorted(bounds, a) + 1] == b:
+                continue  # a short line, scored whole
+            for size, step in WINDOWS:
+                for j in range(max(0, -((size - 2 - (i - a)) // step)), (i - a) // step + 1):
+                    spans.add((a + j * step, min(b, a + j * step + size)))
+        spans = sorted(spans)
+        named = [(c, a, b) for c, (a, b) in zip(self._judged(h, spans), spans) if c[0] not in (NONE, UNKNOWN)]
+        out, taken = [], []
+        for c, a, b in sorted(named, key=lambda x: (-x[0][2], -x[0][1], x[1])):
+            k = self.classes.index(c[0])
+            own = np.concatenate([t for j, t in self.templates if j == k])
+            there = a + np.flatnonzero(np.isin(pairs[a : b - 1], np.intersect1d(own, self.evidence)))
+            if not len(there):
+                continue
+            lo, hi = int(there[0]), int(there[-1]) + 2
+            covered = range(int(np.searchsorted(bounds, lo, "right")) - 1, int(np.searchsorted(bounds, hi - 1, "right")))
+            settled = [p for p in covered if p in hits and hits[p][0] != UNKNOWN and (hits[p][0] == c[0] or bounds[p + 1] - bounds[p] <= WINDOWS[-1][0])]
+            if settled or any(lo < y and x < hi for x, y in taken) or any(covered[0] == p for p, _ in out):
+                continue
+            taken.append((lo, hi))
+            for p in covered:
+                if hits.get(p, ("",))[0] == UNKNOWN:
+                    del hits[p]
+            if covered[0] not in hits:
+                out.append((covered[0], c))
+        return out
 
 
 def variants(text: str, rng: np.random.Generator, filler: list[str], n: int) -> list[str]:
