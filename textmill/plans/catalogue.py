@@ -376,6 +376,21 @@ def _(spark, sf):
     return A.chunk_summary(rows).where("chunk_index = 0").select("source_document", "chunk_index", "summary")
 
 
+@query(
+    "report_rows_all_chunks",
+    f"""WITH RECURSIVE {O.chunks(512, 64)}, {O.scores('c')},
+o AS (SELECT c.id, 0::BIGINT AS chunk_index, instr(flat, c.text) - 1 AS s, length(c.text) AS n FROM c JOIN doc USING (id) WHERE c.chunk_index = 0
+  UNION ALL SELECT c.id, c.chunk_index, o.s + instr(substr(doc.flat, o.s + 2), c.text), length(c.text)
+  FROM o JOIN c ON c.id = o.id AND c.chunk_index = o.chunk_index + 1 JOIN doc ON doc.id = c.id)
+SELECT id::VARCHAR AS source_document, chunk_index, 'Score: ' || score || '  Tokens: ' || tokens || '  Warnings: '
+  || CASE WHEN len(warnings) > 0 THEN array_to_string(warnings, ', ') ELSE 'none' END || '  Source: ' || id || '  Index: ' || chunk_index || '  Offsets: ' || o.s || '..' || (o.s + o.n) AS summary
+FROM scored JOIN o USING (id, chunk_index)""",
+)
+def _(spark, sf):
+    rows = Pipeline(dedupe=False).run_documents(documents(docs(spark, sf), "text", "doc_id")).chunk_table
+    return A.chunk_summary(rows).select("source_document", "chunk_index", "summary")
+
+
 # Streams
 
 BATCH = 50
