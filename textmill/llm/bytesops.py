@@ -6,6 +6,7 @@ inside a multi-byte character, so word edges can be found on bytes.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,25 +83,75 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             start = end
 
 
-def words(data: np.ndarray, off: np.ndarray, token: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and per text the range of its words.
-
-    `token` marks the bytes that words consist of (default: all but white space)."""
-    if not len(data):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(off), np.int64)
-    inside = ~SPACE[data] if token is None else token[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
+def _spans(inside: np.ndarray, off: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the marked bytes; a text's edge is one of a word as well."""
+    first[1:] |= inside[1:] & ~inside[:-1]
+    last[:-1] |= inside[:-1] & ~inside[1:]
+    first[:1] |= inside[:1]
+    last[-1:] |= inside[-1:]
     edge = off[1:-1]
-    at = edge[(edge > 0) & (edge < len(data))]
+    at = edge[(edge > 0) & (edge < len(inside))]
     first[at] |= inside[at]
     last[at - 1] |= inside[at - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, off)
 
 
+def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every run of other than white space, and per text the
+    range of its words."""
+    if not len(data):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(off), np.int64)
+    inside = ~SPACE[data]
+    return _spans(inside, off, np.zeros(len(data), bool), np.zeros(len(data), bool))
+
+
+#: Scripts that put no space between words: each of their characters is a word.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_kinds: list[np.ndarray] = []
+
+
+def letter_kinds() -> np.ndarray:
+    """For every code point: 0 between words, 1 inside one, 2 a word of its own."""
+    if not _kinds:
+        out = np.zeros(0x110000, np.uint8)
+        out[[c for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LNM"]] = 1
+        for low, high in UNSPACED:
+            out[low : high + 1] *= 2
+        _kinds.append(out)
+    return _kinds[0]
+
+
+def letter_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `words`, of runs of letters, digits and marks in the sense of Unicode; where a
+    script puts no space between words, each character is one."""
+    if not len(data):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(off), np.int64)
+    kinds = letter_kinds()
+    kind = kinds[:256][data]
+    lead = np.flatnonzero(data >= 0xC0)
+    first, last = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    if not len(lead):
+        kind[data >= 0x80] = 0
+        return _spans(kind > 0, off, first, last)
+    byte = [data[np.minimum(lead + d, len(data) - 1)].astype(np.int32) & (0xFF if d == 0 else 0x3F) for d in range(4)]
+    size = 2 + (byte[0] >= 0xE0) + (byte[0] >= 0xF0)
+    two, three = (byte[0] & 0x1F) << 6 | byte[1], (byte[0] & 0x0F) << 12 | byte[1] << 6 | byte[2]
+    four = (byte[0] & 0x07) << 18 | byte[1] << 12 | byte[2] << 6 | byte[3]
+    class_ = kinds[np.minimum(np.select([size == 2, size == 3], [two, three], four), 0x10FFFF)]
+    for d in range(4):
+        there = size > d
+        kind[lead[there] + d] = class_[there]
+    own = class_ == 2
+    if own.any():
+        at, end = lead[own], lead[own] + size[own]
+        first[at] = last[end - 1] = True
+        before, after = at[at > 0] - 1, end[end < len(data)]
+        last[before] |= kind[before] > 0
+        first[after] |= kind[after] > 0
+    return _spans(kind > 0, off, first, last)
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
     """A 64-bit polynomial hash of each span of bytes, mixed with its length."""
     if not len(starts):

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .decontaminate import TOKEN
 from .shared import held_out
 
 NONE, UNKNOWN = "none", "unknown"
@@ -137,7 +136,7 @@ STOP = "a an and are as at be by for from if in is it may no not of on only or t
 def paragraph_words(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, the bounds of the paragraphs' words, each paragraph's text and its line."""
     data, off = B.flat(pc.utf8_lower(pc.fill_null(strings, "")))
-    starts, ends, wb = B.words(data, off, TOKEN)
+    starts, ends, wb = B.letter_words(data, off)
     h = B.span_hash(data, starts, ends)
     if not len(h):
         none = np.empty(0, np.int64)
