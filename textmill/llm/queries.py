@@ -65,14 +65,14 @@ QUERIES = {
 ORACLE = {
     "op7_chat_formatting": r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS DISTINCT FROM -7
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   sum(length(role) + length(text) + 17 + length(regexp_replace(text, '[^\\<]', '', 'g'))
-    + length(regexp_replace(role, '[^\\<>\n]', '', 'g')))::BIGINT AS formatted_chars
+    + length(regexp_replace(role, '[^\\<>\n]', '', 'g')))::BIGINT AS formatted_chars, 0::BIGINT AS rewrites
 FROM t GROUP BY conv_id
 """,
     "op6_minhash_near_dedup": """
