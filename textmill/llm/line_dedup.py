@@ -2,14 +2,15 @@
 
 Every window of three lines is hashed, repeated windows are found over all
 documents, and all occurrences but the first, in the order of doc_id and position,
-lose the lines that they cover; overlapping windows merge into longer removals.
+lose what they cover; overlapping windows merge into longer removals.
 
-Lines are a text's own lines that hold a word. Running text has repeats that begin
-and end inside a line, so a line of more than 24 words is cut further, at words
-whose hash is the least within three words on either side. Such cuts depend on
-nothing but the words around them: two copies of a passage are cut alike wherever
-they stand, seven words apart on average. A window that holds a piece of a cut line
-must have 16 words, for a short piece beside short lines recurs by chance.
+A text is read twice. First as its own lines that hold a word: any three of them,
+however short or long, are a window. Then as phrases, for running text has repeats
+that begin and end inside lines: the words are cut after those whose hash is the least
+within three words on either side, and any three phrases of 16 words or more together
+are a window (fewer recur by chance). Such cuts depend on nothing but the words around
+them, so two copies of a passage are cut alike wherever they stand, seven words apart on
+average. Where words repeat so that none is least, a phrase ends after eight words.
 
 Within each partition all but the first occurrence of a window are settled at once;
 only first occurrences are shuffled, so a window that fills a third of all lines
@@ -22,17 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
+from .shared import fresh
 
 LINES = 3
-LONG = 24
 RADIUS = 3
-LEAST = 16
-POSITION_BITS = 24
+#: Least number of words in a window of phrases.
+PHRASE_WORDS = 16
+#: A phrase of more words than this is cut every STRIDE words.
+FAR, STRIDE = 24, 8
+#: Bits of a place: the text's mark, 1 for phrases, the line or phrase.
+POSITION_BITS, MARK_BITS = 29, 33
 #: Windows held back in one partition before first occurrences are sent on.
 HELD = 4_000_000
 FIRST = -(2**63)
@@ -40,54 +46,64 @@ FIRST = -(2**63)
 BREAK = np.zeros(256, bool)
 BREAK[[0x0A, 0x0D]] = True
 
+Units = dict[str, np.ndarray]
 
-def lines(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """Lines of all texts: `hash` of each line's words, its first `byte`, its number
-    of `words`, whether it is a `piece` of a longer line, the `row` of its text, and per text the `bounds` of its lines."""
+
+def _units(at: np.ndarray, n: int, h: np.ndarray, starts: np.ndarray, row: np.ndarray, wb: np.ndarray) -> Units:
+    """Units that begin at the words `at` and reach to the next: the `hash` of each one's
+    words, its first `byte`, its number of `words`, the `row` of its text, and per text
+    the `bounds` of its units."""
+    count = np.diff(np.append(at, n))
+    up, down = B.powers(B.BASE2, n + 1)
+    total = np.zeros(n + 1, B.U64)
+    np.cumsum(h * up[:n], out=total[1:])
+    value = B.mix((total[at + count] - total[at]) * down[at] + count.astype(B.U64))
+    return {"hash": value, "byte": starts[at], "words": count, "row": row[at], "bounds": np.searchsorted(at, wb)}
+
+
+def units(data: np.ndarray, off: np.ndarray) -> tuple[Units, Units]:
+    """The lines and the phrases of all texts."""
     starts, ends, wb = B.words(data, off)
     n = len(starts)
     if not n:
         none = np.empty(0, np.int64)
-        return {"hash": np.empty(0, B.U64), "byte": none, "words": none, "piece": np.empty(0, bool), "row": none, "bounds": np.zeros(len(off), np.int64)}
+        empty = {"hash": np.empty(0, B.U64), "byte": none, "words": none, "row": none, "bounds": np.zeros(len(off), np.int64)}
+        return empty, empty
     row = B.row_of(wb)
     h = B.span_hash(data, starts, ends)
     passed = np.cumsum(BREAK[data])[starts]
-    own = np.ones(n, bool)
-    own[1:] = (passed[1:] != passed[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(own)
-    size = np.diff(np.append(first, n))
+    head = np.ones(n, bool)
+    head[1:] = row[1:] != row[:-1]
+    own = head.copy()
+    own[1:] |= passed[1:] != passed[:-1]
+    lines = _units(np.flatnonzero(own), n, h, starts, row, wb)
     following = np.append(h[1:], B.U64(0))
     following[wb[1:][np.diff(wb) > 0] - 1] = 0
     x = B.pair_hash(h, following)
-    least = np.repeat(size > LONG, size)
+    least = np.ones(n, bool)
     for d in range(1, RADIUS + 1):
         apart = row[d:] != row[:-d]
-        less = x[d:] < x[:-d]
-        more = x[:-d] < x[d:]
-        least[d:] &= less | apart
-        least[:-d] &= more | apart
-    at = np.flatnonzero(own | least)
-    count = np.diff(np.append(at, n))
-    up, down = B.powers(B.BASE2, n + 1)
-    total = np.zeros(n + 1, B.U64)
-    np.cumsum(h * up[:n], out=total[1:])
-    value = B.mix((total[at + count] - total[at]) * down[at] + count.astype(B.U64))
-    return {"hash": value, "byte": starts[at], "words": count, "piece": np.repeat(size > LONG, size)[at], "row": row[at], "bounds": np.searchsorted(at, wb)}
-
-
-def windows(found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window and the number of its first line, among all lines given."""
+        least[d:] &= (x[d:] < x[:-d]) | apart
+        least[:-d] &= (x[:-d] <= x[d:]) | apart
+    at = np.flatnonzero(head | least)
+    size = np.diff(np.append(at, n))
+    more = np.where(size > FAR, (size - 1) // STRIDE, 0)
+    nth = np.arange(len(at) + more.sum()) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+    return lines, _units(np.repeat(at, more + 1) + nth * STRIDE, n, h, starts, row, wb)
+
+
+def windows(found: Units, words: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every window of at least so many words, and the number of its first unit
+    among all units given."""
     h, row = found["hash"], found["row"]
     if len(h) < LINES:
         return np.empty(0, B.U64), np.empty(0, np.int64)
     at = np.flatnonzero(row[LINES - 1 :] == row[: 1 - LINES])
-    value, words, piece = h[at], found["words"][at], found["piece"][at]
+    value, count = h[at], found["words"][at]
     for d in range(1, LINES):
         value = B.pair_hash(value, h[at + d])
-        words = words + found["words"][at + d]
-        piece = piece | found["piece"][at + d]
-    counts = ~piece | (words >= LEAST)
-    return value[counts], at[counts]
+        count = count + found["words"][at + d]
+    return value[count >= words], at[count >= words]
 
 
 WINDOWS = "hash long, doc_id long, place long, settled boolean"
@@ -104,23 +120,21 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         # Rows that repeat a document whole are the same occurrence.
-        same = np.zeros(len(h), bool)
         head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        same[:] = (doc == doc[head]) & (place == place[head]) & ~new
+        same = (doc == doc[head]) & (place == place[head]) & ~new
         keep = np.flatnonzero(~same)
         for k in range(0, len(keep), 1 << 18):
             part = keep[k : k + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(doc[part]), pa.array(place[part]), pa.array(~new[part])], names=["hash", "doc_id", "place", "settled"])
 
     for batch in B.slices(batches):
-        data, off = B.flat(batch.column("text"))
-        found = lines(data, off)
-        value, at = windows(found)
-        row = found["row"][at]
-        doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[row].astype(np.int64)
-        mark = batch.column("mark").to_numpy(zero_copy_only=False)[row].astype(np.int64)
-        held.append((value, doc, (mark << POSITION_BITS) + (at - found["bounds"][row])))
-        count += len(value)
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        marks = batch.column("mark").to_numpy(zero_copy_only=False).astype(np.int64)
+        for kind, found in enumerate(units(*B.flat(batch.column("text")))):
+            value, at = windows(found, PHRASE_WORDS if kind else 0)
+            row = found["row"][at]
+            held.append((value ^ B.U64(kind), ids[row], (marks[row] << (POSITION_BITS + 1)) + (kind << POSITION_BITS) + (at - found["bounds"][row])))
+            count += len(value)
         if count >= HELD:
             yield from firsts()
             held, count = [], 0
@@ -128,44 +142,73 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from firsts()
 
 
-def cut(text: str | None, covered: list[int] | None) -> tuple[str | None, int, int, int, int]:
-    """The text without the lines of the windows that start at the lines `covered`;
-    its lines and words, and how many of each went."""
-    data, off = B.flat(pa.array([text], pa.string()))
-    found = lines(data, off)
-    n = len(found["hash"])
-    words = int(found["words"].sum())
-    if not covered:
-        return text, n, 0, words, 0
-    gone = np.zeros(n, bool)
-    at = np.asarray(covered, np.int64)
-    for d in range(LINES):
-        gone[at + d] = True
-    edge = np.append(found["byte"], len(data))
-    parts = [data[: edge[0]].tobytes()]
-    change = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
-    for a, b in zip(change[::2], change[1::2]):
-        parts.append(data[edge[a] : edge[b]].tobytes())
-    out = b"".join(parts).decode()
-    return (out.rstrip() if gone[-1] else out), n, int(gone.sum()), words, int(found["words"][gone].sum())
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    mark = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 39) - 1))
-    return docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), mark.alias("mark"), "text")
+def cut(strings: pa.Array, covered: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts without the words of the windows that start at the units `covered`
+    (lines, or phrases with POSITION_BITS set); and a column of n_lines,
+    lines_removed, n_words, words_removed for each. A removal that reaches the text's
+    end takes the white space before it."""
+    data, off = B.flat(strings)
+    lines, phrases = units(data, off)
+    rows = len(off) - 1
+    starts, _, wb = B.words(data, off)
+    flat = covered.values.to_numpy(zero_copy_only=False) if len(covered.values) else np.empty(0, np.int64)
+    edge = covered.offsets.to_numpy()
+    owner = np.repeat(np.arange(rows), np.diff(edge))
+    flat = flat[edge[0] : edge[-1]].astype(np.int64)
+    gone = np.zeros(len(starts), bool)
+    for kind, found in enumerate((lines, phrases)):
+        mine = (flat >> POSITION_BITS) == kind
+        at = found["bounds"][owner[mine]] + (flat[mine] & ((1 << POSITION_BITS) - 1))
+        dead = np.zeros(len(found["hash"]), bool)
+        for d in range(LINES):
+            dead[at + d] = True
+        gone |= np.repeat(dead, found["words"])
+    counts = np.zeros((4, rows), np.int64)
+    counts[0] = np.diff(lines["bounds"])
+    counts[2] = np.diff(wb)
+    out = strings.to_pylist() if len(flat) else None
+    if out is None:
+        return strings, counts
+    lost = np.concatenate([[0], np.cumsum(gone)])
+    counts[3] = lost[wb[1:]] - lost[wb[:-1]]
+    if len(starts):
+        first = np.cumsum(lines["words"]) - lines["words"]
+        empty = np.concatenate([[0], np.cumsum(lost[first + lines["words"]] - lost[first] == lines["words"])])
+        counts[1] = empty[lines["bounds"][1:]] - empty[lines["bounds"][:-1]]
+    for i in np.flatnonzero(counts[3]).tolist():
+        a, b = int(wb[i]), int(wb[i + 1])
+        change = np.flatnonzero(np.diff(np.concatenate([[True], gone[a:b], [True]]).astype(np.int8)))
+        place = np.append(starts[a:b], off[i + 1])
+        parts = [data[off[i] : place[0]].tobytes(), *(data[place[x] : place[y]].tobytes() for x, y in zip(change[::2], change[1::2]))]
+        text = b"".join(parts).decode()
+        out[i] = text.rstrip(" \t\n\r\x0b\x0c") if gone[b - 1] else text
+    return pa.array(out, pa.string()), counts
+
+
+def _keyed(docs: DataFrame, key: str, mark: str) -> DataFrame:
+    """docs with the id, null as FIRST, and a hash of the text. Texts without a letter
+    have no windows, so they are spread instead of meeting under one hash."""
+    empty = F.coalesce(F.col("text"), F.lit("")) == ""
+    spread = -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))
+    hashed = F.when(empty, spread).otherwise(F.xxhash64("text").bitwiseAND(F.lit((1 << MARK_BITS) - 1)))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias(key), hashed.alias(mark), *docs.columns)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """Later occurrences: doc_id, mark, and the lines at which they start."""
-    found = _keyed(docs).select("doc_id", "mark", "text").mapInArrow(_window_rows, WINDOWS)
-    least = F.min(F.struct("doc_id", "place")).over(Window.partitionBy("hash"))
+    """Later occurrences: _id, _mark, and the units at which they start."""
+    found = _keyed(docs.select("doc_id", "text"), "_id", "_mark").select(F.col("_id").alias("doc_id"), F.col("_mark").alias("mark"), "text").mapInArrow(_window_rows, WINDOWS)
     # Settled rows are later than another of their partition; they need no comparison
     # and get hashes of their own so that none of them meets in one place.
-    spread = found.withColumn("hash", F.when(F.col("settled"), F.xxhash64("doc_id", "place")).otherwise(F.col("hash"))).withColumn("own", F.when(F.col("settled"), F.xxhash64("doc_id", "place")))
+    own = F.when(F.col("settled"), F.xxhash64("doc_id", "place"))
+    spread = found.withColumn("hash", F.coalesce(own, F.col("hash"))).withColumn("own", own)
     least = F.min(F.struct("doc_id", "place")).over(Window.partitionBy("hash", "own"))
     later = spread.withColumn("least", least).where("settled or struct(doc_id, place) <> least")
-    pos = F.col("place").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
-    return later.select("doc_id", F.shiftright("place", POSITION_BITS).alias("mark"), pos.alias("pos")).groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("covered"))
+    pos = F.col("place").bitwiseAND(F.lit((1 << (POSITION_BITS + 1)) - 1)).cast("int")
+    marked = later.select(F.col("doc_id").alias("_id"), F.shiftright("place", POSITION_BITS + 1).alias("_mark"), pos.alias("pos"))
+    return marked.groupBy("_id", "_mark").agg(F.collect_set("pos").alias("_covered"))
+
+
+ADDED = ("n_lines", "lines_removed", "n_words", "words_removed")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -173,20 +216,24 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     Input: doc_id, text and any other columns, all kept; `text` is replaced and
     n_lines, lines_removed, n_words, words_removed are appended (an input column of
-    such a name is replaced). Null texts stay null and empty ones empty; a text of
-    fewer than three lines is never cut. Rows that repeat a document with id and
+    such a name is replaced). A line counts as removed when all its words are. Null
+    texts stay null and empty ones empty. Rows that repeat a document with id and
     text are one document and are cut alike; rows of one id with different texts
-    are ordered by a hash of the text. A null doc_id comes first."""
-    covered = repeated_windows(docs)
-    keyed = _keyed(docs).drop("text").join(covered, ["doc_id", "mark"], "left").select("row.*", F.col("covered").alias("_covered"))
-    added = ["n_lines", "lines_removed", "n_words", "words_removed"]
-    names = [c for c in docs.columns if c not in added]
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in added])
+    are ordered by a hash of the text. A null doc_id comes first. An empty table
+    gives no rows. Texts of any length are read whole; one of over a mebibyte is a
+    batch of its own."""
+    names = [c for c in docs.columns if c not in ADDED]
+    key, mark, covered = fresh(docs, "id", "mark", "covered")
+    where = repeated_windows(docs).withColumnsRenamed({"_id": key, "_mark": mark, "_covered": covered})
+    keyed = _keyed(docs, key, mark).join(where, [key, mark], "left").select(*names, covered)
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in ADDED])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.slices(batches):
-            out = [cut(t, c) for t, c in zip(batch.column("text").to_pylist(), batch.column("_covered").to_pylist())]
-            columns = [pa.array([x[0] for x in out], pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in out], pa.int64()) for k in range(1, 5))], names=[*names, *added])
+            found = batch.column(len(names))
+            spots = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)), found.flatten())
+            text, counts = cut(batch.column(names.index("text")), spots)
+            columns = [text if c == "text" else batch.column(k) for k, c in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, counts)], names=[*names, *ADDED])
 
-    return keyed.select(*names, "_covered").mapInArrow(rows, schema)
+    return keyed.mapInArrow(rows, schema)

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of one value that a task may hold, whatever their share.
+HOT_ROWS = 100_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir). Only where the
     session names none, as in tests, one is made here."""
@@ -41,6 +45,41 @@ def crc_held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of names that df doesn't have; names that start alike
+    keep to the ones given."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        new = f"_{name}"
+        while new.lower() in taken:
+            new += "_"
+        taken.add(new.lower())
+        out.append(new)
+    return out
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], copies: str, how: str = "left") -> DataFrame:
+    """rows joined with table, which has one row for each value of `on` and says in
+    `copies` how many of rows have it. Values of more than a thousandth of them are at
+    most a thousand, so these rows of the table are broadcast and the rows stay where
+    they are; only the rest meets by shuffle. A null in `on` finds nothing."""
+    table = checkpointed(table)
+    total = table.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    most = max(HOT_ROWS, total // 1000)
+    hot = table.where(F.col(copies) > most).select(*on, F.struct(*[c for c in table.columns if c not in on]).alias("_hot"))
+    cold = table.where(F.col(copies) <= most)
+    values = [c for c in table.columns if c not in on]
+    if hot.isEmpty():
+        return rows.join(cold, on, how)
+    marked = rows.join(F.broadcast(hot), on, "left")
+    # Rows that are settled must not meet under their hot value again.
+    salt = F.when(F.col("_hot").isNull(), F.lit(-1)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)))
+    both = marked.withColumn("_salt", salt).join(cold.withColumn("_salt", F.lit(-1).cast("long")), [*on, "_salt"], "left")
+    out = both.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(c)).alias(c) for c in values], (F.col("_hot").isNotNull() | F.col(copies).isNotNull()).alias("_met"))
+    return out.where("_met").drop("_met") if how == "inner" else out.drop("_met")
+
+
 def small(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows; stops counting soon after."""
     return df.limit(most + 1).count() <= most
