@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
-from .shared import held_out
+from .shared import checkpointed, drawn, held_out
 
 WINDOW = 96
 HIDDEN = 8
@@ -196,16 +196,23 @@ def gradients(model: LangModel, x: np.ndarray, length: np.ndarray, y: np.ndarray
     return loss, g
 
 
-def fit(strings: pa.Array, langs: list[str], steps: int = 400, batch: int = 192, hidden: int = HIDDEN, seed: int = 5) -> LangModel:
-    """Train on texts and their languages; each step draws windows evenly by language."""
-    names = sorted(set(langs))
+def fit(strings: pa.Array, langs: list[str], **how) -> LangModel:
+    """Train on whole texts and their languages."""
+    data, off = B.flat(lowered(strings))
+    x, length, owner = windows(data, off)
+    return fit_windows(x, length, [langs[i] for i in owner], sorted(set(langs)), **how)
+
+
+def fit_windows(x: np.ndarray, length: np.ndarray, langs: list[str], names: list[str], steps: int = 400, batch: int = 192, hidden: int = HIDDEN, seed: int = 5) -> LangModel:
+    """Train on windows and their languages; each step draws evenly by language."""
     if len(names) < 2:
         return LangModel(names, _initial(len(names), hidden, seed)) if names else LangModel([])
     model = LangModel(names, _initial(len(names), hidden, seed))
-    data, off = B.flat(lowered(strings))
-    x, length, owner = windows(data, off)
-    y = np.array([names.index(v) for v in langs])[owner]
+    place = {v: k for k, v in enumerate(names)}
+    y = np.array([place[v] for v in langs], np.int64)
     by = [np.flatnonzero((y == k) & (length > 0)) for k in range(len(names))]
+    if not any(map(len, by)):
+        return model
     rng = np.random.default_rng(seed)
     m1, m2 = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
@@ -235,20 +242,35 @@ def _initial(classes: int, hidden: int, seed: int) -> dict:
     return p
 
 
-def train(docs: DataFrame, per_language: int = 400) -> LangModel:
-    """Fit on about `per_language` documents of each language, drawn by a hash of
-    their ids. Rows held out, null texts and null languages teach nothing. Only the
-    counts and the drawn rows reach the driver."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not counts:
-        return LangModel([])
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 1.2 * per_language / n)).otherwise(share)
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = known.where(unit < share).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(rows.column("text").cast(pa.string()), rows.column("lang").to_pylist())
+def train(docs: DataFrame, per_language: int = 400, per_text: int = 64, languages: int = 256) -> LangModel:
+    """Fit on at most `per_text` windows, spread over the whole text, of at most
+    `per_language` documents of each language, drawn by a hash of their ids; of more
+    than `languages` languages those with most documents drawn, then the first by name.
+    Only these windows reach the driver. Rows held out, null texts and null languages
+    teach nothing; of rows that share an id and a language one is drawn."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    ids = checkpointed(drawn(known, "lang", per_language))
+    most = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    ids = F.broadcast(ids.join(F.broadcast(most), "lang"))  # at most per_language * languages rows
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in B.slices(batches):
+            data, off = B.flat(lowered(batch.column("text")))
+            x, length, owner = windows(data, off)
+            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            out = []
+            for a, b in zip(bounds, bounds[1:]):
+                at = a + np.unique(np.arange(min(per_text, b - a)) * (b - a) // max(1, min(per_text, b - a)))
+                out.append([x[i, : length[i]].tobytes() for i in at])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(out, pa.list_(pa.binary()))], names=["lang", "doc_id", "cut"])
+
+    found = known.join(ids, ["lang", "doc_id"]).select("lang", "doc_id", "text").mapInArrow(cut, "lang string, doc_id long, cut array<binary>")
+    rows = found.groupBy("lang", "doc_id").agg(F.min("cut").alias("cut")).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    pieces = [(lang, w) for lang, ws in zip(rows.column("lang").to_pylist(), rows.column("cut").to_pylist()) for w in ws]
+    x = np.zeros((len(pieces), WINDOW), np.uint8)
+    for i, (_, w) in enumerate(pieces):
+        x[i, : len(w)] = np.frombuffer(w, np.uint8)
+    return fit_windows(x, np.array([len(w) for _, w in pieces], np.int64), [lang for lang, _ in pieces], sorted(set(rows.column("lang").to_pylist())))
 
 
 def with_language(docs: DataFrame, model: LangModel) -> DataFrame:
@@ -268,7 +290,8 @@ def languages(docs: DataFrame, per_language: int = 400) -> DataFrame:
 
     Input: doc_id, text, lang; other columns are ignored, and lang only trains.
     Null texts and texts without a letter are `und` with score 0, and so is all
-    when no language is known; with one known language, that one is predicted.
-    Repeated rows are predicted alike; an empty table gives no rows."""
+    when no language is known; with one known language, that one is predicted. Of
+    equally probable languages the first by name is predicted. Repeated rows are
+    predicted alike; texts of any length are read whole; an empty table gives no rows."""
     out = with_language(docs, train(docs, per_language))
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .bytesops import mix
 
 
 #: Rows of one value that a task may hold, whatever their share.
@@ -80,6 +86,36 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], copies: str, how: s
     return out.where("_met").drop("_met") if how == "inner" else out.drop("_met")
 
 
+def drawn(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """For each value of `by` at most so many distinct doc_ids, those of the least
+    hashes: columns `by` and doc_id. rows: `by` and doc_id, a long, neither null.
+
+    Every partition sends on only its own least ones, so a value that fills the table
+    costs no more than another."""
+    name = rows.schema[by]
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[object, np.ndarray] = {}
+        for batch in batches:
+            values, codes = np.unique(batch.column(by).to_numpy(zero_copy_only=False), return_inverse=True)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for k, v in enumerate(values.tolist()):
+                both = np.unique(np.concatenate([best.get(v, ids[:0]), ids[codes == k]]))
+                best[v] = both[np.lexsort((both, _scattered(both)))[:most]]
+        for v, ids in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([v] * len(ids)).cast(batch.column(by).type), pa.array(ids), pa.array(_scattered(ids).view(np.int64))], names=[by, "doc_id", "h"])
+
+    schema = T.StructType([name, T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType())])
+    found = rows.select(by, "doc_id").mapInArrow(least, schema).distinct()
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("h", "doc_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= most).select(by, "doc_id")
+
+
+def _scattered(ids: np.ndarray) -> np.ndarray:
+    """A hash of each id; its order, as a signed number, is that of the draw."""
+    return (mix(ids.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(1)).astype(np.uint64)
+
+
 def small(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows; stops counting soon after."""
     return df.limit(most + 1).count() <= most
