@@ -17,6 +17,8 @@ from .bytesops import mix
 
 #: Rows of one value that a task may hold, whatever their share.
 HOT_ROWS = 100_000
+#: Rows of a table of numbers or short strings that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,24 +68,29 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], copies: str, how: str = "left") -> DataFrame:
-    """rows joined with table, which has one row for each value of `on` and says in
-    `copies` how many of rows have it. Values of more than a thousandth of them are at
-    most a thousand, so these rows of the table are broadcast and the rows stay where
-    they are; only the rest meets by shuffle. A null in `on` finds nothing."""
+    """rows joined ("left" or "inner") with table, which has one row for each value of
+    `on` and says in `copies` how many of rows have it. The rows don't move where the
+    table is counted small. Else values of more than a thousandth of rows, at most a
+    thousand, are broadcast, and only the rest meets by shuffle. A null in `on` finds
+    nothing; no column of table but `on` may be one of rows."""
     table = checkpointed(table)
-    total = table.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
-    most = max(HOT_ROWS, total // 1000)
-    hot = table.where(F.col(copies) > most).select(*on, F.struct(*[c for c in table.columns if c not in on]).alias("_hot"))
-    cold = table.where(F.col(copies) <= most)
+    found = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(copies), F.lit(0)).alias("total")).first()
+    if found.n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on, how)
     values = [c for c in table.columns if c not in on]
-    if hot.isEmpty():
+    most = max(HOT_ROWS, found.total // 1000)
+    hot, salt, met = fresh(rows.join(table.limit(0), on), "hot", "salt", "met")
+    few = table.where(F.col(copies) > most).select(*on, F.struct(*values).alias(hot))
+    cold = table.where(F.col(copies) <= most)
+    if few.isEmpty():
         return rows.join(cold, on, how)
-    marked = rows.join(F.broadcast(hot), on, "left")
-    # Rows that are settled must not meet under their hot value again.
-    salt = F.when(F.col("_hot").isNull(), F.lit(-1)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)))
-    both = marked.withColumn("_salt", salt).join(cold.withColumn("_salt", F.lit(-1).cast("long")), [*on, "_salt"], "left")
-    out = both.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(c)).alias(c) for c in values], (F.col("_hot").isNotNull() | F.col(copies).isNotNull()).alias("_met"))
-    return out.where("_met").drop("_met") if how == "inner" else out.drop("_met")
+    # Rows that have met their value must not meet under it again.
+    spread = F.when(F.col(hot).isNull(), F.lit(-1)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)))
+    both = rows.join(F.broadcast(few), on, "left").withColumn(salt, spread)
+    both = both.join(cold.withColumns({salt: F.lit(-1).cast("long"), met: F.lit(True)}), [*on, salt], "left")
+    if how == "inner":
+        both = both.where(F.col(hot).isNotNull() | F.col(met))
+    return both.select(*rows.columns, *[F.coalesce(F.col(hot)[c], F.col(c)).alias(c) for c in values])
 
 
 def drawn(rows: DataFrame, by: str, most: int) -> DataFrame:
