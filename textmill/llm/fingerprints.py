@@ -17,7 +17,7 @@ no look-up; the position's lower bits tell terms of one triple apart.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -153,14 +153,13 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _blocks(bounds: list[int]) -> Callable:
-    cuts = np.array(bounds, np.int64)
-
-    @F.pandas_udf("int")
-    def block(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, at.to_numpy(np.int64), "right").astype(np.int32))
-
-    return block
+def _places(cuts: np.ndarray, at: pd.Series, h: pd.Series) -> np.ndarray:
+    """The block of each (id, hash of the text). An id that is several cuts has as many
+    blocks more, its texts' hashes in order."""
+    x = at.to_numpy(np.int64)
+    low, high = np.searchsorted(cuts, x, "left"), np.searchsorted(cuts, x, "right")
+    share = ((h.to_numpy(np.int64) >> 40) + (1 << 23)) * np.maximum(high - low, 0) >> 24
+    return np.where(high - low > 1, low + 1 + share.clip(0), high)
 
 
 def fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -168,35 +167,34 @@ def fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame:
 
     Input: doc_id, text; other columns are ignored. A null text counts as empty;
     the fingerprint of a text without words has all bits set and is alike only to
-    its own kind. Rows of equal doc_id follow each other by text; a null doc_id
-    comes first. One document alone follows itself. An empty table gives no rows.
-
-    Ids are read first, alone, to cut them into blocks of about equal size. Then
-    the texts are shuffled once: every document goes to its block, and the first
-    of each block also ends the block before. Only ids and block numbers reach
-    the driver, one per block."""
+    its own kind. Rows of equal doc_id follow each other by a hash of the text, then by
+    the text; a null doc_id comes first. One document alone follows itself. A text of
+    any length is read whole. An empty table gives no rows.
+
+    Ids are read first, alone, to cut them into blocks of about equal size; an id, or
+    null, that fills several blocks is cut by the hashes of its texts. Then the texts are
+    shuffled once: every document goes to its block, and the first of each block also
+    ends the block before. Only ids and block numbers reach the driver, one per block."""
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("at"))
+    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("at"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     blocks = blocks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [int(x) for x in keyed.select("at").approxQuantile("at", [i / blocks for i in range(1, blocks)], 0.1 / blocks)] if blocks > 1 else []
-    block = _blocks(sorted(set(cuts)))
-    firsts = sorted((r.block, r.at) for r in keyed.select(block("at").alias("block"), "at").groupBy("block").agg(F.min("at").alias("at")).collect())
-    order = [b for b, _ in firsts]
-    before = {at: order[i - 1] for i, (_, at) in enumerate(firsts)}
-    ids = np.array(sorted(before), np.int64)
-    ends = np.array([before[i] for i in sorted(before)], np.int32)
+    cuts = np.array(sorted(int(x) for x in keyed.select("at").approxQuantile("at", [i / blocks for i in range(1, blocks)], 0.1 / blocks)) if blocks > 1 else [], np.int64)
 
     @F.pandas_udf("int")
-    def ending(at: pd.Series) -> pd.Series:
-        x = at.to_numpy(np.int64)
-        if not len(ids):
-            return pd.Series(np.full(len(x), -1, np.int32))
-        i = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
-        return pd.Series(np.where(ids[i] == x, ends[i], -1).astype(np.int32))
-
-    placed = keyed.select("doc_id", "text", "at", block("at").alias("block"), ending("at").alias("ends"))
+    def block(at: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(_places(cuts, at, h).astype(np.int32))
+
+    first = F.min(F.struct("at", "h")).alias("first")
+    firsts = sorted((r.block, r.first.at, r.first.h) for r in keyed.select(block("at", "h").alias("block"), "at", "h").groupBy("block").agg(first).collect())
+    before = {(at, h): firsts[i - 1][0] for i, (_, at, h) in enumerate(firsts)}
+
+    @F.pandas_udf("int")
+    def ending(at: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([before.get(x, -1) for x in zip(at.tolist(), h.tolist())], dtype="int32")
+
+    placed = keyed.select("doc_id", "text", "at", "h", block("at", "h").alias("block"), ending("at", "h").alias("ends"))
     own = F.struct(F.col("block"), F.lit(0).alias("tail"))
     tail = F.struct(F.col("ends").alias("block"), F.lit(1).alias("tail"))
-    spread = placed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "at", F.explode(F.when(F.col("ends") >= 0, F.array(own, tail)).otherwise(F.array(own))).alias("x"))
-    ordered = spread.select("doc_id", "text", "at", "x.block", "x.tail").repartition("block").sortWithinPartitions("block", "tail", "at", "text")
+    spread = placed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "at", "h", F.explode(F.when(F.col("ends") >= 0, F.array(own, tail)).otherwise(F.array(own))).alias("x"))
+    ordered = spread.select("doc_id", "text", "at", "h", "x.block", "x.tail").repartition("block").sortWithinPartitions("block", "tail", "at", "h", "text")
     return ordered.select("doc_id", "tail", "text").mapInArrow(_pairs, SCHEMA)
