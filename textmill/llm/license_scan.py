@@ -207,7 +207,9 @@ class LicenseModel:
     temperature: float = 1.0
     #: Expected calibration error on what each fold's model had not seen.
     calibration_error: float = 0.0
+    #: Least probability of a family, and of any licence at all.
     probable: float = 0.5
+    certain: float = 0.8
     alike: float = 0.6
 
     def sums(self, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -272,7 +274,7 @@ class LicenseModel:
             k = p.argmax(1)
             # One word says too little: mit is German, a name may be anybody's.
             speaks = phrases[np.arange(len(k)), k] > np.maximum(phrases[:, none], 0)
-            found += [(int(x[j]), int(y[j]), int(k[j]), float(p[j, k[j]])) for j in np.flatnonzero((k != none) & speaks & (1 - p[:, none] >= self.probable))]
+            found += [(int(x[j]), int(y[j]), int(k[j]), float(p[j, k[j]])) for j in np.flatnonzero((k != none) & speaks & (1 - p[:, none] >= self.certain))]
         return self._settled(h, bounds, text, line, found)
 
     def _settled(self, h: np.ndarray, bounds: np.ndarray, text: np.ndarray, line: np.ndarray, found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, str, float, float]]:
