@@ -67,6 +67,25 @@ def test_near_duplicates_in_one_hot_group(spark):
     assert got == brute_components(enumerate(texts))
 
 
+@pytest.mark.parametrize("small", [1, 4])
+def test_links_within_crowded_buckets(spark, monkeypatch, small):
+    """Texts that are merely alike fill the buckets of those that are linked."""
+    monkeypatch.setattr(N, "SMALL", small)
+    monkeypatch.setattr(N, "HUB_EDGES", 3)
+    rng = random.Random(9)
+    texts = []
+    for size in (40, 90):
+        base = words(rng, size)
+        family = [base] + [edited(rng, base, rng.choice([0.05, 0.08, 0.11])) for _ in range(40)]
+        texts += family + [edited(rng, rng.choice(family), 0.04) for _ in range(20)]
+    rng.shuffle(texts)
+    called = []
+    prefix = N._by_prefix
+    monkeypatch.setattr(N, "_by_prefix", lambda *a: called.append(1) or prefix(*a))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(frame(spark, texts)).collect()}
+    assert got == brute_components(enumerate(texts)) and called
+
+
 def test_near_duplicates_repeated_rows_null_ids_and_empty_table(spark):
     df = frame(spark, ["a b c", "a b c", "x", "x"], ids=[4, 4, None, 2])
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(df).collect()), key=str)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zlib
 from collections.abc import Iterator
@@ -34,6 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
     return str(named).rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and written to the folder that all executors share."""
     shared_folder(df.sparkSession)
