@@ -5,23 +5,30 @@ far. It is reached without a scan: chunks of one normalised text stand or fall b
 their first one; near duplicates among those are edges found by a prefix-filtered
 shingle join; and the scan's choice is the lexicographically first maximal independent
 set of the edges, settled in rounds of all chunks whose earlier neighbours are settled.
+
+Until the rows are put together, chunks are only numbers: their index, hashes of their
+texts, and their shingles as sorted 64-bit hashes, written once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import normalize_for_dedupe, round3, shingles
-from .tables import checkpointed
+from .tables import checkpointed, fresh, lookup
 
 EPSILON = 1e-9
-#: Shingles of so many chunks come last in every prefix; at most HOT_LISTED are told apart.
-HOT, HOT_LISTED = 1000, 5000
-#: A prefix hash of more chunks than CROWD is settled by its leaders, in at most ROUNDS rounds.
-CROWD, ROUNDS = 100, 5
+#: Counts by which shingles are ordered, rarest first.
+CELLS = 1 << 20
+#: A prefix hash of more chunks than CROWD is settled by its leaders.
+CROWD = 100
 
 
 def check_config(threshold: float, exact: bool, normalized: bool, near_duplicates: bool) -> None:
@@ -58,22 +65,56 @@ class Deduped:
         return both.groupBy(*self.scope).agg(F.count("*").alias("total"), (F.count("*") - gone).alias("retained_count"), gone.alias("duplicate_count"), F.coalesce(F.avg("gone"), F.lit(0.0)).alias("duplicate_ratio"))
 
 
-def _prefixes(chunks: DataFrame, threshold: float, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The shingle sets of rows (index, norm), and the hashes each is looked up by.
+def _sets(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """The sorted hashes of each row's shingles and their number, of rows (index, norm)."""
+    hashed = F.array_sort(F.transform(shingles(F.col("norm")), lambda s: F.xxhash64(s)))
+    return checkpointed(chunks.where("norm <> ''").select(*by, "index", hashed.alias("set")).withColumn("n", F.size("set")))
+
+
+def _cells(shingle: np.ndarray) -> np.ndarray:
+    return (shingle.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles fall in each of CELLS cells; at most a row a cell is sent to
+    the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            total += np.bincount(_cells(batch.column("set").flatten().to_numpy()), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+
+    rows = sets.select("set").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame, threshold: float, by: list[str]) -> DataFrame:
+    """The hashes that each set is looked up by: index, n, h.
 
     Sets of size n can only reach the threshold if they share one of the first
-    n - ceil(threshold * n) + 1 shingles of one global order. That order is by hash,
-    after which come the shingles that very many chunks have, so a common phrase is
-    in a prefix only where a chunk holds little else."""
-    sets = checkpointed(chunks.where("norm <> ''").select(*by, "index", shingles(F.col("norm")).alias("set")).withColumn("n", F.size("set")))
-    hashed = F.transform("set", lambda s: F.xxhash64(s))
-    often = sets.select(F.explode(hashed).alias("h")).groupBy("h").count().where(F.col("count") > HOT).select("h")
-    hot = [r.h for r in often.limit(HOT_LISTED).collect()]
-    last = F.array(*map(F.lit, hot)).cast("array<bigint>")
-    ordered = F.array_sort(F.transform(hashed, lambda h: F.struct((F.array_contains(last, h) if hot else F.lit(False)).alias("hot"), h.alias("h"))))
-    length = (F.col("n") - F.ceil(F.lit(float(threshold)) * F.col("n") - EPSILON) + 1).cast("int")
-    prefix = F.slice(ordered, 1, F.least(length, F.col("n")))
-    return sets, sets.select(*by, "index", "n", F.explode(prefix).alias("p")).select(*by, "index", "n", "p.h")
+    n - ceil(threshold * n) + 1 shingles of one global order. That order is by how often
+    a shingle's cell is met, the rarest first, so a common phrase is in a prefix only
+    where a chunk holds little else."""
+    often = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))  # CELLS numbers
+    keep = [*by, "index", "n"]
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = batch.column("set"), batch.column("n").to_numpy().astype(np.int64)
+            value, owner = found.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((value, often.value[_cells(value)], owner))
+            nth = np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n)
+            length = n - np.ceil(threshold * n - EPSILON).astype(np.int64) + 1
+            first = nth < length[owner]
+            row = pa.array(owner[first])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in keep), pa.array(value[order][first])], names=[*keep, "h"])
+
+    schema = T.StructType([*(sets.schema[c] for c in keep), T.StructField("h", T.LongType())])
+    return checkpointed(sets.select(*keep, "set").mapInArrow(heads, schema))
 
 
 def _met(left: DataFrame, right: DataFrame, t: float, by: list[str]) -> DataFrame:
@@ -83,12 +124,19 @@ def _met(left: DataFrame, right: DataFrame, t: float, by: list[str]) -> DataFram
     return x.join(y, [*by, "h"]).where(F.least("na", "nb") >= t * F.greatest("na", "nb") - EPSILON)
 
 
+def _shared(heads: DataFrame, by: list[str]) -> DataFrame:
+    """The prefix hashes that more than one chunk has."""
+    return heads.groupBy(*by, "h").agg(F.min(F.struct("index", "n")).alias("lo"), F.count("*").alias("c")).where("c > 1")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, t: float, by: list[str]) -> DataFrame:
     """a, b, similarity of the pairs (a, b, na, nb) whose full sets reach the threshold."""
-    pairs = pairs.select(*by, "a", "b", "na", "nb").distinct()
-    sa = sets.select(*by, F.col("index").alias("a"), F.col("set").alias("sa"))
-    sb = sets.select(*by, F.col("index").alias("b"), F.col("set").alias("sb"))
-    full = pairs.join(sa, [*by, "a"]).join(sb, [*by, "b"]).withColumn("k", F.size(F.array_intersect("sa", "sb")))
+    pairs = checkpointed(pairs.select(*by, "a", "b", "na", "nb").distinct())
+    # Only the sets that wait for a pair are sent; those of many pairs are sent alone.
+    of = lambda x: pairs.groupBy(*by, F.col(x).alias("index")).agg(F.count("*").alias("c"))
+    have = lambda x: of(x).join(sets.select(*by, "index", "set"), [*by, "index"]).withColumnsRenamed({"index": x, "set": f"s{x}"})
+    full = lookup(lookup(pairs, have("a"), [*by, "a"], "c", "inner").drop("c"), have("b"), [*by, "b"], "c", "inner")
+    full = full.withColumn("k", F.size(F.array_intersect("sa", "sb")))
     similarity = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
     return full.where("k > 0").select(*by, "a", "b", similarity.alias("similarity")).where(F.col("similarity") >= t)
 
@@ -97,7 +145,8 @@ def near_pairs(chunks: DataFrame, threshold: float, scope: list[str] | None = No
     """All pairs a < b of rows (index, norm) whose shingle sets share at least one
     member and have similarity >= threshold: a, b, similarity, and the scope."""
     by, t = scope or [], float(threshold)
-    sets, heads = _prefixes(chunks, t, by)
+    sets = _sets(chunks, by)
+    heads = _prefixes(sets, t, by)
     return _verified(_met(heads, heads, t, by).where("a < b"), sets, t, by)
 
 
@@ -108,22 +157,23 @@ def _thinned(heads: DataFrame, sets: DataFrame, t: float, by: list[str]) -> tupl
     A chunk that is the earliest in every bucket it is in meets no earlier candidate,
     so a scan keeps it; whatever in its buckets reaches the threshold with it is
     removed. Both leave, in pairs linear in the buckets' sizes, and the next round
-    looks at the rest. A family of near copies is gone after its first member led."""
+    looks at the rest, until no bucket is crowded. A family of near copies is gone after
+    its first member led; each round settles at least the earliest chunk of all."""
     kept = removed = None
-    for _ in range(ROUNDS):
-        lead = heads.groupBy(*by, "h").agg(F.min(F.struct("index", "n")).alias("lo"), F.count("*").alias("c")).where("c > 1")
-        lead = checkpointed(lead)
+    while True:
+        lead = checkpointed(_shared(heads, by))
         if lead.where(F.col("c") > CROWD).isEmpty():
-            break
-        inside = heads.join(lead, [*by, "h"])
+            # A chunk alone in its buckets meets nobody.
+            return checkpointed(lookup(heads, lead.select(*by, "h", "c"), [*by, "h"], "c", "inner").drop("c")), kept, removed
+        inside = checkpointed(lookup(heads, lead, [*by, "h"], "c", "inner"))
         behind = inside.where(F.col("index") > F.col("lo.index")).select(*by, "index").distinct()
         leaders = checkpointed(inside.where(F.col("index") == F.col("lo.index")).select(*by, "index").distinct().join(behind, [*by, "index"], "left_anti"))
-        led = lead.select(*by, "h", F.col("lo.index").alias("index"), F.col("lo.n").alias("n")).join(leaders, [*by, "index"])
-        hit = checkpointed(_verified(_met(led, heads, t, by).where("a < b"), sets, t, by).select(*by, F.col("b").alias("index")).distinct())
+        pairs = inside.where(F.col("index") > F.col("lo.index")).select(*by, F.col("lo.index").alias("a"), F.col("index").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"))
+        pairs = pairs.where(F.least("na", "nb") >= t * F.greatest("na", "nb") - EPSILON).join(leaders.withColumnRenamed("index", "a"), [*by, "a"], "left_semi")
+        hit = checkpointed(_verified(pairs, sets, t, by).select(*by, F.col("b").alias("index")).distinct())
         kept = leaders if kept is None else kept.union(leaders)
         removed = hit if removed is None else removed.union(hit)
-        heads = checkpointed(heads.join(leaders.union(hit), [*by, "index"], "left_anti").select(*by, "index", "n", "h"))
-    return heads, kept, removed
+        heads = checkpointed(inside.select(*by, "index", "n", "h").join(leaders.union(hit), [*by, "index"], "left_anti"))
 
 
 def first_independent(edges: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -144,66 +194,86 @@ def first_independent(edges: DataFrame, scope: list[str] | None = None) -> DataF
             return state.select(*scope, "node", (F.col("s") == 1).alias("kept"))
 
 
-def dedupe(chunks: DataFrame, near_duplicate_threshold: float = 0.9, exact: bool = True, normalized: bool = True, near_duplicates: bool = True, scope: str | None = None) -> Deduped:
+def _near(reps: DataFrame, t: float, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of rows (index, norm) with distinct normalised texts those that a scan removes as
+    near duplicates (index), and which retained ones each of them is near: index, r,
+    similarity."""
+    sets = _sets(reps, by)
+    heads = _prefixes(sets, t, by)
+    rest, kept, gone = _thinned(heads, sets, t, by)
+    edges = checkpointed(_verified(_met(rest, rest, t, by).where("a < b"), sets, t, by))
+    state = first_independent(edges, by)
+    lost = state.where("not kept").select(*by, F.col("node").alias("index"))
+    if gone is not None:
+        lost = checkpointed(lost.union(gone))
+        # What the removed ones resemble is looked for among all that are kept.
+        left = heads.join(lost, [*by, "index"], "left_anti")
+        beside = _verified(_met(heads.join(lost, [*by, "index"], "left_semi"), left, t, by), sets, t, by)
+        return lost, beside.withColumnsRenamed({"a": "index", "b": "r"})
+    stays = state.where("kept").select(*by, F.col("node").alias("r"))
+    both = edges.select(*by, F.col("a").alias("index"), F.col("b").alias("r"), "similarity").union(edges.select(*by, F.col("b").alias("index"), F.col("a").alias("r"), "similarity"))
+    return lost, both.join(stays, [*by, "r"])
+
+
+def dedupe(chunks: DataFrame, near_duplicate_threshold: float = 0.9, exact: bool = True, normalized: bool = True, near_duplicates: bool = True, scope: str | None = None, settled: bool = False) -> Deduped:
     """Remove duplicates among rows with `index` (a distinct number that gives the
-    order) and `text`; with a scope column, within each of its values only.
+    order) and `text`; with a scope column, within each of its values only. `settled`
+    says that the rows are cheap to read again, as those of `with_index` are.
 
-    Of equally similar retained chunks the earliest counts."""
+    Of equally similar retained chunks the earliest counts. A text that fills the table
+    is counted before it is moved, and its rows then stay where they are."""
     t = near_duplicate_threshold
     check_config(t, exact, normalized, near_duplicates)
     by = [scope] if scope else []
-    rows = checkpointed(chunks.withColumn("_norm", normalize_for_dedupe(F.col("text"))))
-    none = F.lit(None).cast("string")
-    key = F.coalesce(
-        F.when(F.col("_norm") != "", F.concat(F.lit("n"), F.sha2("_norm", 256))) if normalized or near_duplicates else none,
-        F.concat(F.lit("t"), F.sha2("text", 256)) if exact else none,
-        F.concat(F.lit("i"), F.col("index").cast("string")),
-    )
-    keyed = rows.withColumn("_key", key)
-    first = keyed.groupBy(*by, "_key").agg(F.min("index").alias("_rep"))
-    # Only the first chunk's text is needed of each group; it is compared by hash.
-    keyed = keyed.join(first, [*by, "_key"]).drop("_key")
-    reps = keyed.where("index = _rep")
-    same_text = F.sha2("text", 256) == F.col("_rep_text")
-    rep_text = reps.select(*by, "_rep", F.sha2("text", 256).alias("_rep_text"))
-    beside = None
-    if near_duplicates:
-        sets, heads = _prefixes(reps.select(*by, "index", F.col("_norm").alias("norm")), t, by)
-        rest, early, gone = _thinned(heads, sets, t, by)
-        edges = checkpointed(_verified(_met(rest, rest, t, by).where("a < b"), sets, t, by))
-        state = first_independent(edges, by)
-        lost = state.where("not kept").select(*by, F.col("node").alias("index"))
-        if gone is not None:
-            lost = checkpointed(lost.union(gone))
-            # What the removed ones resemble is looked for among all that are kept.
-            left = heads.join(lost, [*by, "index"], "left_anti")
-            beside = _verified(_met(heads.join(lost, [*by, "index"], "left_semi"), left, t, by), sets, t, by).withColumnsRenamed({"a": "_rep", "b": "r"})
-        else:
-            kept = state.where("kept").select(*by, F.col("node").alias("r"))
-            both = edges.select(*by, F.col("a").alias("_rep"), F.col("b").alias("r"), "similarity").union(edges.select(*by, F.col("b").alias("_rep"), F.col("a").alias("r"), "similarity"))
-            beside = both.join(kept, [*by, "r"])
-        state = lost.select(*by, F.col("index").alias("_rep"), F.lit(False).alias("kept"))
-        keyed = keyed.join(state, [*by, "_rep"], "left").withColumn("_stays", F.coalesce("kept", F.lit(True))).drop("kept")
-    else:
-        keyed = keyed.withColumn("_stays", F.lit(True))
+    rows = chunks if settled else checkpointed(chunks)
+    norm = normalize_for_dedupe(F.col("text"))
+    by_norm = normalized or near_duplicates
+    # 128 bits of each text's key stand for it.
+    halves = lambda kind, x: [F.xxhash64(F.lit(kind), x), F.xxhash64(F.lit(kind + "'"), x)]
+    hashed = rows.select(*by, "index", F.xxhash64("text").alias("t0"), F.xxhash64(F.lit("t"), "text").alias("t1"), norm.alias("norm"))
+    text_key = halves("t", F.struct("t0", "t1")) if exact else halves("i", F.col("index"))
+    keys = [F.when(F.col("norm") != "", n).otherwise(x) for n, x in zip(halves("n", F.col("norm")), text_key)] if by_norm else text_key
+    keyed = hashed.select(*by, "index", "t0", "t1", (F.col("norm") != "").alias("worded"), keys[0].alias("k0"), keys[1].alias("k1"))
     keyed = checkpointed(keyed)
-    retained = keyed.where("index = _rep and _stays").select(*chunks.columns)
-    later = keyed.where("index <> _rep and _stays").join(rep_text, [*by, "_rep"])
-    kind = F.when(same_text, "exact") if exact else F.when(F.lit(False), "exact")
-    if normalized:
-        kind = kind.when(F.col("_norm") != "", "normalized")
-    copies = later.select(*by, "index", F.col("text").alias("chunk"), F.col("_rep").alias("retained_index"), kind.otherwise("near_duplicate").alias("kind"), F.lit(1.0).alias("similarity"))
+    on = [*by, "k0", "k1"]
+    groups = keyed.groupBy(*on).agg(F.min(F.struct("index", "t0", "t1")).alias("first"), F.count("*").alias("copies"))
+    # Only keys that repeat are looked up; any other chunk is its own first.
+    twice = groups.where("copies > 1").select(*on, F.col("first.index").alias("rep"), F.struct("first.t0", "first.t1").alias("rep_text"), "copies")
+    own = lookup(keyed, twice, on, "copies").select(*by, "index", "worded", F.coalesce("rep", "index").alias("rep"), (F.struct("t0", "t1") == F.col("rep_text")).alias("same"))
+    own = checkpointed(own)
+    copied = own.where("index <> rep")
+    lost = beside = None
     if near_duplicates:
-        best = keyed.where("not _stays").join(beside, [*by, "_rep"]).where("r < index").groupBy(*by, "index").agg(F.min(F.struct((-F.col("similarity")).alias("less"), F.col("r"))).alias("x"))
-        near = keyed.where("not _stays").join(best, [*by, "index"]).select(*by, "index", F.col("text").alias("chunk"), F.col("x.r").alias("retained_index"), F.lit("near_duplicate").alias("kind"), round3(-F.col("x.less")).alias("similarity"))
-        copies = copies.unionByName(near)
-    names = retained.select(*by, F.col("index").alias("retained_index"), F.col("text").alias("retained_chunk"))
-    removed = copies.join(names, [*by, "retained_index"]).select(*by, "index", "chunk", "retained_index", "retained_chunk", "kind", "similarity")
+        first = rows.join(copied.select("index"), "index", "left_anti").select(*by, "index", norm.alias("norm"))
+        lost, beside = _near(first, t, by)
+    kind = F.when(F.col("same"), "exact") if exact else F.when(F.lit(False), "exact")
+    if normalized:
+        kind = kind.when(F.col("worded"), "normalized")
+    if lost is None:
+        gone = copied.select(*by, "index", F.col("rep").alias("retained_index"), kind.otherwise("near_duplicate").alias("kind"), F.lit(1.0).alias("similarity"))
+    else:
+        lost = lost.select(F.col("index").alias("rep"), F.lit(True).alias("lost"))
+        of = own.groupBy("rep").agg(F.count("*").alias("c")).join(lost, "rep")
+        fate = lookup(own, of, ["rep"], "c")
+        gone = fate.where("lost is null and index <> rep").select(*by, "index", F.col("rep").alias("retained_index"), kind.otherwise("near_duplicate").alias("kind"), F.lit(1.0).alias("similarity"))
+        fallen = fate.where("lost").select(*by, "index", "rep")
+        near = fallen.join(beside.withColumnRenamed("index", "rep"), [*by, "rep"]).where("r < index")
+        best = near.groupBy(*by, "index").agg(F.min(F.struct((-F.col("similarity")).alias("less"), F.col("r"))).alias("x"))
+        gone = gone.unionByName(best.select(*by, "index", F.col("x.r").alias("retained_index"), F.lit("near_duplicate").alias("kind"), round3(-F.col("x.less")).alias("similarity")))
+    gone = checkpointed(gone)
+    retained = rows.join(gone.select("index"), "index", "left_anti").select(*chunks.columns)
+    # Texts come last, and only those of duplicates and of what they repeat.
+    named = gone.join(rows.select("index", F.col("text").alias("chunk")), "index")
+    kept = gone.groupBy("retained_index").agg(F.count("*").alias("c")).join(rows.select(F.col("index").alias("retained_index"), F.col("text").alias("retained_chunk")), "retained_index")
+    removed = lookup(named, kept, ["retained_index"], "c", "inner").select(*by, "index", "chunk", "retained_index", "retained_chunk", "kind", "similarity")
     return Deduped(retained, removed, by)
 
 
 def first_batch(chunks: DataFrame, batch: str, seen: Column) -> DataFrame:
     """Rows whose `seen` hash occurs in no earlier batch. Counting is by hash and batch
-    first, so a hash that fills the input isn't gathered."""
-    first = chunks.select(seen.alias("_seen"), F.col(batch).alias("_b")).groupBy("_seen").agg(F.min("_b").alias("_first"))
-    return chunks.withColumn("_seen", seen).join(first, "_seen").where(F.col(batch) == F.col("_first")).drop("_seen", "_first")
+    first, and only hashes of several batches are looked up, so a hash that fills the
+    input isn't gathered."""
+    hash_, b, first, n = fresh(chunks, "seen", "batch", "first", "copies")
+    marked = checkpointed(chunks.withColumn(hash_, seen))
+    often = marked.groupBy(hash_).agg(F.min(batch).alias(first), F.max(batch).alias(b), F.count("*").alias(n)).where(F.col(first) < F.col(b)).drop(b)
+    return lookup(marked, often, [hash_], n).where(F.col(first).isNull() | (F.col(batch) == F.col(first))).select(*chunks.columns)

@@ -15,7 +15,7 @@ from ..operators import stats as A
 from ..operators.chunk import chunk_rows
 from ..operators.dedupe import dedupe, near_pairs
 from ..operators.score import score
-from ..operators.tables import with_index
+from ..operators.tables import numbered, ordered
 from ..sources.tables import documents, parquet
 from ..streaming.batches import batched
 from . import oracle as O
@@ -56,13 +56,14 @@ def structured(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", "lang", "source", text.alias("text"))
 
 
-def chunk_table(spark: SparkSession, sf: str, size: int = 512, overlap: int = 64, offsets: bool = False) -> DataFrame:
-    cleaned = docs(spark, sf).select("doc_id", T.clean(F.col("text")).alias("text"))
+def chunk_table(spark: SparkSession, sf: str, size: int = 512, overlap: int = 64, offsets: bool = False, order: bool = False) -> DataFrame:
+    source = ordered(docs(spark, sf), "doc_id") if order else docs(spark, sf)
+    cleaned = source.select("doc_id", T.clean(F.col("text")).alias("text"))
     return chunk_rows(cleaned, chunk_size=size, overlap=overlap, single_line=True, offsets=offsets)
 
 
 def indexed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return with_index(chunk_table(spark, sf), "doc_id", "chunk_index")
+    return numbered(chunk_table(spark, sf, order=True))
 
 
 # Cleaning and normalising
@@ -208,42 +209,42 @@ def _dedupe_sql(select: str, threshold: float | None, **how) -> str:
 
 @query("dedupe_exact", _dedupe_sql(_GONE, None, normalized=False))
 def _(spark, sf):
-    return dedupe(indexed_chunks(spark, sf), normalized=False, near_duplicates=False).removed
+    return dedupe(indexed_chunks(spark, sf), normalized=False, near_duplicates=False, settled=True).removed
 
 
 @query("dedupe_normalized", _dedupe_sql(_GONE, None))
 def _(spark, sf):
-    return dedupe(indexed_chunks(spark, sf), near_duplicates=False).removed
+    return dedupe(indexed_chunks(spark, sf), near_duplicates=False, settled=True).removed
 
 
 @query("dedupe_removed", _dedupe_sql(_GONE, 0.9))
 def _(spark, sf):
-    return dedupe(indexed_chunks(spark, sf)).removed
+    return dedupe(indexed_chunks(spark, sf), settled=True).removed
 
 
 @query("dedupe_removed_06", _dedupe_sql(_GONE, 0.6))
 def _(spark, sf):
-    return dedupe(indexed_chunks(spark, sf), 0.6).removed
+    return dedupe(indexed_chunks(spark, sf), 0.6, settled=True).removed
 
 
 @query("dedupe_near_only_06", _dedupe_sql(_GONE, 0.6, exact=False, normalized=False))
 def _(spark, sf):
-    return dedupe(indexed_chunks(spark, sf), 0.6, exact=False, normalized=False).removed
+    return dedupe(indexed_chunks(spark, sf), 0.6, exact=False, normalized=False, settled=True).removed
 
 
 @query("dedupe_retained", _dedupe_sql('SELECT "index", id AS doc_id, chunk_index, c.text FROM c JOIN kept ON kept.idx = c."index"', 0.9))
 def _(spark, sf):
-    return dedupe(indexed_chunks(spark, sf)).retained.select("index", "doc_id", "chunk_index", "text")
+    return dedupe(indexed_chunks(spark, sf), settled=True).retained.select("index", "doc_id", "chunk_index", "text")
 
 
 @query("dedupe_stats", _dedupe_sql("SELECT (SELECT count(*) FROM c) AS total, (SELECT count(*) FROM kept) AS retained_count, (SELECT count(*) FROM gone) AS duplicate_count, (SELECT count(*) FROM gone)::DOUBLE / (SELECT count(*) FROM c) AS duplicate_ratio", 0.9))
 def _(spark, sf):
-    return dedupe(indexed_chunks(spark, sf)).stats
+    return dedupe(indexed_chunks(spark, sf), settled=True).stats
 
 
 @query("dedupe_groups", _dedupe_sql("SELECT gone.retained_index, r.text AS retained_chunk, count(*) AS duplicates, min(gone.idx) AS first_duplicate FROM gone JOIN c r ON r.\"index\" = gone.retained_index GROUP BY ALL", 0.6))
 def _(spark, sf):
-    return dedupe(indexed_chunks(spark, sf), 0.6).groups
+    return dedupe(indexed_chunks(spark, sf), 0.6, settled=True).groups
 
 
 _PAIR_ROWS = f"r AS (SELECT 0 AS scope, \"index\" AS idx, {O.NORM.format('text')} AS norm FROM c)"

@@ -17,7 +17,7 @@ from ..operators import stats as A
 from ..operators.chunk import chunk_rows
 from ..operators.dedupe import Deduped, dedupe
 from ..operators.score import score
-from ..operators.tables import with_index
+from ..operators.tables import checkpointed, numbered, ordered
 from ..sources import files
 from ..types import Chunk, ChunkMetadata, PipelineStats
 
@@ -109,34 +109,43 @@ class Pipeline:
     def run_documents(self, docs: DataFrame) -> PipelineResult:
         """Run over a DataFrame with source_document, doc_order (sortable) and text."""
         self.check()
-        chunks = with_index(self.chunks_of(docs), "doc_order", "chunk_index")
-        found = dedupe(chunks) if self.dedupe else None
+        chunks = self.indexed(docs)
+        found = dedupe(chunks, settled=True) if self.dedupe else None
         kept = found.retained if found else chunks
         return PipelineResult(docs, score(kept) if self.score else kept, found, self.score)
 
+    def indexed(self, docs: DataFrame) -> DataFrame:
+        """The chunks of docs with their number over all. Documents are put in order
+        before they are cut, so the order is found without cutting them."""
+        return numbered(self.chunks_of(ordered(docs, "doc_order")))
+
     def run(self, source: str | DataFrame, *, progress: Progress | None = None, spark: SparkSession | None = None) -> PipelineResult:
         """Run over a raw text, a file, a folder, or a DataFrame of documents.
 
-        progress(stage, current, total) is called for each document once its job is
-        planned, and before and after the stages over all chunks."""
+        progress(stage, current, total) is called for each document once all are cleaned
+        and cut, and before and after the stages over all chunks; with it, each stage is
+        run before the next is planned."""
         if not isinstance(source, (str, DataFrame)):
             raise TypeError("the source must be a path, a text or a DataFrame")
         self.check()
         docs = source if isinstance(source, DataFrame) else files.load(spark or active_session(), source)
-        tell = progress or (lambda *_: None)
-        if progress:
+        with spark_job("pipeline"):
+            if progress is None:
+                return self.run_documents(docs)
+            chunks = self.indexed(docs)  # runs here
             total = docs.count()
             for i in range(total):
-                tell("clean", i + 1, total)
-        if self.dedupe:
-            tell("dedupe", 0, 1)
-        with spark_job("pipeline"):
-            result = self.run_documents(docs)
-        if self.dedupe:
-            tell("dedupe", 1, 1)
-        tell("score", 0, 1)
-        tell("score", 1, 1)
-        return result
+                progress("clean", i + 1, total)
+            found = None
+            if self.dedupe:
+                progress("dedupe", 0, 1)
+                found = dedupe(chunks, settled=True)
+                chunks = checkpointed(found.retained)
+                progress("dedupe", 1, 1)
+            progress("score", 0, 1)
+            result = PipelineResult(docs, checkpointed(score(chunks)) if self.score else chunks, found, self.score)
+            progress("score", 1, 1)
+            return result
 
     def stream(self, source: str, *, batch_size: int = 50, progress: Progress | None = None, spark: SparkSession | None = None):
         """One result per batch of files; see streaming.batches."""

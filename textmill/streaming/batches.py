@@ -88,7 +88,7 @@ def file_batches(pipeline: Pipeline, source: str, batch_size: int = 50, progress
             chunks = with_index(chunks, "doc_order", "chunk_index")
             if pipeline.dedupe:
                 tell("dedupe", k + 1, total)
-                found = dedupe(chunks)
+                found = dedupe(chunks, settled=True)
                 chunks = found.retained
             tell("score", k + 1, total)
             result = PipelineResult(docs, score(chunks) if pipeline.score else chunks, found, pipeline.score, warn_if_empty=False)
@@ -104,7 +104,7 @@ def batched(pipeline: Pipeline, docs: DataFrame, batch: str = "batch_id") -> tup
     if pipeline.dedupe:
         chunks = first_batch(chunks, batch, normalized_hash(F.col("text")))
         chunks = with_index(chunks, batch, "doc_order", "chunk_index")
-        found = dedupe(chunks, scope=batch)
+        found = dedupe(chunks, scope=batch, settled=True)
         chunks, ratio = found.retained, found.stats.select(batch, "duplicate_ratio")
     if pipeline.score:
         chunks = score(chunks, scope=batch)
@@ -124,7 +124,7 @@ def start(pipeline: Pipeline, docs: DataFrame, out: str, seen_path: str, checkpo
         chunks = pipeline.chunks_of(rows)
         if pipeline.dedupe:
             chunks = with_index(unseen(chunks, Seen(spark, seen_path), batch), "doc_order", "chunk_index")
-            chunks = dedupe(chunks).retained
+            chunks = dedupe(chunks, settled=True).retained
         else:
             chunks = with_index(chunks, "doc_order", "chunk_index")
         chunks = score(chunks) if pipeline.score else chunks
