@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions.shipping import by_value
 from ..functions.text import normalize_for_dedupe, word_count
+from .tables import fresh, lookup
 
 Scorers = list[tuple[str, float, Callable[[str], float]]]
 _registered: Scorers = []
@@ -71,21 +72,24 @@ def score(chunks: DataFrame, scorers: Scorers | None = None, scope: str | None =
     """chunks (with `text`) plus tokens, score and warnings.
 
     A chunk is likely a duplicate if another one, in its scope, has the same normalised
-    text. Those texts are counted by hash; only the repeated ones are joined back."""
+    text. Those texts are counted by hash; only the repeated ones are looked up, and a
+    text that fills the table doesn't meet in one task. Columns tokens, score and
+    warnings of chunks are replaced."""
     by = [scope] if scope else []
     scorers = registered_scorers() if scorers is None else scorers
-    keyed = chunks.withColumn("_norm", F.sha2(normalize_for_dedupe(F.col("text")), 256))
-    often = keyed.groupBy(*by, "_norm").agg(F.count("*").alias("_n")).where("_n > 1").select(*by, "_norm", F.lit(True).alias("_twice"))
-    marked = keyed.join(often, [*by, "_norm"], "left").withColumn("_twice", F.coalesce("_twice", F.lit(False)))
+    k0, k1, n, density, structure, plate = fresh(chunks, "norm0", "norm1", "copies", "density", "structure", "plate")
+    norm = normalize_for_dedupe(F.col("text"))
+    keyed = chunks.withColumns({k0: F.xxhash64(norm), k1: F.xxhash64(F.lit("n"), norm)})  # 128 bits
+    often = keyed.groupBy(*by, k0, k1).agg(F.count("*").alias(n)).where(F.col(n) > 1)
     text = F.col("text")
-    parts = marked.withColumns({"tokens": word_count(text), "_density": S.density_score(text), "_structure": S.structure_score(text), "_plate": S.is_boilerplate(text)})
-    common = (F.col("_twice"), F.col("_plate"))
+    parts = lookup(keyed, often, [*by, k0, k1], n).withColumns({"tokens": word_count(text), density: S.density_score(text), structure: S.structure_score(text), plate: S.is_boilerplate(text)})
+    common = (F.col(n).isNotNull(), F.col(plate))
     out = parts.withColumns(
         {
-            "score": S.final_score(F.col("tokens"), F.col("_density"), F.col("_structure"), *common),
-            "warnings": S.warnings(F.col("tokens"), F.col("_density"), *common),
+            "score": S.final_score(F.col("tokens"), F.col(density), F.col(structure), *common),
+            "warnings": S.warnings(F.col("tokens"), F.col(density), *common),
         }
     )
     if scorers:
         out = out.withColumn("score", _blended(scorers)(F.col("score"), text))
-    return out.select(*chunks.columns, "tokens", "score", "warnings")
+    return out.select(*[c for c in chunks.columns if c not in ("tokens", "score", "warnings")], "tokens", "score", "warnings")

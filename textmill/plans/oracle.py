@@ -11,14 +11,12 @@ STRIPPED = r"""regexp_replace(regexp_replace({},
 DECODED = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
 CLEAN_PAGE = WHITE.format(STRIPPED.format(DECODED.format("html")))
 
-STRUCTURED = """SELECT doc_id, lang, source, CASE doc_id % 7
-  WHEN 0 THEN '# ' || lang || chr(10) || chr(10) || text
-  WHEN 1 THEN '```' || chr(10) || text || chr(10) || '```'
-  WHEN 2 THEN '1. ' || text
-  WHEN 3 THEN '- item ' || text
-  WHEN 4 THEN text || ' Home Login Sign in Privacy policy Contact'
-  WHEN 5 THEN repeat('again ', 30)
-  ELSE array_to_string(string_split(text, ' ')[1:10], ' ') END AS text FROM documents"""
+_ROWS = "SELECT doc_id, lang, source, {} FROM documents"
+_MARKED = """'marked' AS variant, CASE lang WHEN 'en' THEN '# ' || lang || chr(10) || chr(10) || text
+  WHEN 'fr' THEN '```' || chr(10) || text || chr(10) || '```' WHEN 'de' THEN '1. ' || text ELSE '- item ' || text END AS text"""
+STRUCTURED = "\n  UNION ALL ".join(
+    _ROWS.format(x) for x in (_MARKED, "'plate', text || ' Home Login Sign in Privacy policy Contact'", "'again', repeat('again ', 30)", "'short', source || ' ' || lang")
+)
 
 TERMS = ("home", "login", "sign in", "privacy policy", "terms of service", "contact", "copyright")
 
