@@ -23,21 +23,24 @@ def out(doc_id):
 
 def test_quality_gradients():
     rng = np.random.default_rng(0)
-    texts = pa.array(["Some words here. And more of them, said twice." * 20, "LOUD!! LOUD!! " * 90, "ok"])
-    x, bounds = quality.passages(texts)
-    m = quality.fit(texts, np.array([1, 0, 1]), epochs=1)
+    texts = pa.array(["Some words here. And more of them, said twice." * 20, "LOUD!! LOUD!! " * 90, "ok", ""])
+    x, token, tb, bounds = quality.passages(texts)
+    m = quality.fit(texts, np.array([1, 0, 1, 0]), epochs=1)
     m.p = {k: v.astype(float) for k, v in m.p.items()}
-    x, y = (x - m.mean) * m.scale, np.array([1.0, 0.0, 1.0])
-    loss = lambda: float(np.logaddexp(0, z := m.forward(x, bounds)["logit"]).sum() - (y * z).sum())
-    f = m.forward(x, bounds)
-    g = quality.backward(m.p, f, 1 / (1 + np.exp(-f["logit"])) - y)
+    x, y = (x - m.mean) * m.scale, np.array([1.0, 0.0, 1.0, 0.0])
+    mean = lambda: np.stack([m.p["e"][token[a:b]].mean(0) if b > a else np.zeros(quality.EMBED) for a, b in zip(tb, tb[1:])])
+    loss = lambda: float(np.logaddexp(0, z := m.forward(x, mean(), bounds)["logit"]).sum() - (y * z).sum())
+    f = m.forward(x, mean(), bounds)
+    g = quality.backward(m.p, f, 1 / (1 + np.exp(-f["logit"])) - y, token, tb)
     for k, v in m.p.items():
         at = tuple(rng.integers(0, s) for s in v.shape)
+        if k == "e":
+            at = (int(token[3]), at[1])
         old, e = v[at], 1e-5
         up = (m.p.__setitem__(k, _set(v, at, old + e)), loss())[1]
         down = (m.p.__setitem__(k, _set(v, at, old - e)), loss())[1]
         m.p[k] = _set(v, at, old)
-        assert abs((up - down) / (2 * e) - g[k][at]) < 1e-4 + 1e-3 * abs(g[k][at])
+        assert abs((up - down) / (2 * e) - g[k][at]) < 1e-4 + 1e-3 * abs(g[k][at]), k
 
 
 def _set(v, at, x):

@@ -110,46 +110,6 @@ def test_packed_estimate_is_close(spark):
 # Line dedup
 
 
-def model_line_dedup(docs):
-    """All windows in one list, in order; the first of each text stays."""
-    found = []
-    for i, t in sorted(docs):
-        data, off = B.flat(pa.array([t], pa.string()))
-        lines = L.lines(data, off)
-        value, at = L.windows(lines)
-        found.append((i, t, lines, list(zip(value.tolist(), at.tolist()))))
-    seen, out = set(), {}
-    for i, t, lines, windows in found:
-        covered = []
-        for v, a in windows:
-            if v in seen:
-                covered.append(a)
-            seen.add(v)
-        out[i] = L.cut(t, covered)
-    return out
-
-
-def test_line_dedup_against_a_scan(spark):
-    rng = random.Random(5)
-    pool = [words(rng, rng.randrange(1, 6)) for _ in range(6)]
-    passages = [words(rng, rng.randrange(55, 120), 10**6) for _ in range(3)]
-    texts = nasty_texts()
-    for _ in range(60):
-        parts = [rng.choice(pool) if rng.random() < 0.5 else words(rng, rng.randrange(1, 60)) for _ in range(rng.randrange(1, 9))]
-        if rng.random() < 0.5:
-            parts.insert(rng.randrange(len(parts)), words(rng, 30) + " " + rng.choice(passages) + " " + words(rng, 30))
-        texts.append("\n".join(parts))
-    rows = list(enumerate(texts))
-    rng.shuffle(rows)
-    want = model_line_dedup(rows)
-    df = frame(spark, [t for _, t in rows], ids=[i for i, _ in rows])
-    out = L.line_dedup(df)
-    assert out.columns[: len(df.columns)] == df.columns
-    got = {r.doc_id: (r.text, r.n_lines, r.lines_removed, r.n_words, r.words_removed) for r in out.collect()}
-    assert got == want
-    assert got[0][0] is None and got[1][0] == ""
-
-
 def test_passages_inside_lines_go_and_other_text_stays(spark):
     rng = random.Random(6)
     passage = words(rng, 56, 10**6)
@@ -158,7 +118,7 @@ def test_passages_inside_lines_go_and_other_text_stays(spark):
     out = {r.doc_id: r for r in L.line_dedup(frame(spark, texts)).collect()}
     assert out[0].text == texts[0]
     for i in range(1, 20):
-        assert 30 <= out[i].words_removed <= 56
+        assert 30 <= out[i].words_removed <= 56, i
         assert passage not in out[i].text
     assert all(out[i].text == texts[i] for i in range(20, 30))
 
@@ -166,52 +126,17 @@ def test_passages_inside_lines_go_and_other_text_stays(spark):
 def test_three_lines_and_short_lines(spark):
     texts = ["alpha\nbeta\ngamma\nown", "mine\nalpha\nbeta\ngamma", "alpha\nbeta\nother", "x\nx\nx\nx\nx"]
     out = [r.text for r in L.line_dedup(frame(spark, texts)).orderBy("doc_id").collect()]
-    assert out == [texts[0], "mine", texts[2], ""] or out[:3] == [texts[0], "mine", texts[2]]
+    assert out == [texts[0], "mine", texts[2], "x"]
     same = L.line_dedup(frame(spark, ["a\nb\nc", "a\nb\nc"], ids=[3, 3])).collect()
     assert [r.text for r in same] == ["a\nb\nc"] * 2
+    long = "\n".join(words(random.Random(k), 40) for k in range(3))  # lines of any length are lines
+    assert [r.words_removed for r in L.line_dedup(frame(spark, [long, "own words\n" + long])).orderBy("doc_id").collect()] == [0, 120]
     assert L.line_dedup(frame(spark, [])).collect() == []
 
 
 # Decontamination
 
 
-def brute_distance(pattern, text):
-    row = [0] * (len(text) + 1)
-    for i, a in enumerate(pattern, 1):
-        new = [i]
-        for j, b in enumerate(text, 1):
-            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (a != b)))
-        row = new
-    return min(row)
-
-
-def test_decontamination_against_brute_force(spark):
-    rng = random.Random(2)
-    items = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, 60))] for _ in range(12)]
-    texts = nasty_texts()
-    for _ in range(60):
-        t = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 60))]
-        for item in rng.sample(items, rng.randrange(0, 3)):
-            leak = [w if rng.random() > 0.12 else "zz" for w in item if rng.random() > 0.05]
-            k = rng.randrange(len(t) + 1)
-            t = t[:k] + leak + t[k:]
-        texts.append(rng.choice([" ", ", ", "\n"]).join(t).upper())
-    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(98, None), (99, "")], "item_id long, text string")
-    want = {}
-    for d, t in enumerate(texts):
-        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
-        if len(w) > 5000:
-            continue
-        for i, x in enumerate(items):
-            if len(x) >= D.LEAST and (k := brute_distance(x, w)) <= int(0.2 * len(x) + 1e-9):
-                want[d, i] = k
-    df = frame(spark, texts)
-    assert {(r.doc_id, r.item_id): r.distance for r in D.matches(df, bench).collect()} == want
-    kept = D.clean(df, bench)
-    assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
-
-
 def test_decontamination_of_empty_tables_and_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "one two three four five six"), (2, "a b c d e f g h"), (3, "one two three four five six")], "item_id long, text string")
     assert D.matches(frame(spark, ["x"]), bench.limit(0)).collect() == []

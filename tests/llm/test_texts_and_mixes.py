@@ -15,7 +15,7 @@ from textmill.llm import chat, mixing
 from textmill.llm import fingerprints as P
 from textmill.llm.shared import table
 
-from .helpers import frame, nasty_texts, words
+from .helpers import frame, nasty_texts, untouched, words
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -144,7 +144,7 @@ def test_spans_and_rewritten_history():
     probe = chat.Probe(chat.MarkedTemplate())
     turns = [("user", "a"), ("assistant", "b <"), ("user", "")]
     spans = [probe.add(t) for t in turns]
-    assert [probe.output[s.start : s.end] for s in spans] == [chat.MarkedTemplate().append(t) for t in turns] and not probe.rewrites
+    assert [probe.output[s.start : s.end] for s in spans] == [chat.MarkedTemplate()([t]) for t in turns] and not probe.rewrites
     counted = chat.Probe(lambda ts: f"[{len(ts)}]" + "".join(x for _, x in ts))
     for t in turns:
         counted.add(t)
@@ -198,7 +198,7 @@ def test_pipeline(spark):
         after = stage(spark, nasty, SF)
         assert after.columns == nasty.columns or name == C.STAGES[-1][0]
         assert stage(spark, nasty.limit(0), SF).count() == 0
-        after.collect()
+        assert untouched(after.collect(), ["copies"])
 
 
 def test_queries_are_registered():

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import by_value
+
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
@@ -215,7 +217,7 @@ def digests(turns: DataFrame, template: MarkedTemplate | None = None) -> DataFra
     are repeated turns; a null conv_id is a conversation too. An empty table gives no
     rows. With a template that declares itself append-only no memory grows with a
     conversation; else the whole conversation is rendered for each of its turns."""
-    template = template or MarkedTemplate()
+    template = by_value(template or MarkedTemplate())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -255,7 +257,7 @@ def formatted(turns: DataFrame, template: Template | None = None, loss_role: str
     the intact ones, and the numbers of the turns that rewrote history.
 
     Input and order as in `digests`; here each conversation's output is one value."""
-    template = template or MarkedTemplate()
+    template = by_value(template or MarkedTemplate())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.list_(pa.int64()))
