@@ -100,7 +100,7 @@ def test_a_rewrite_after_many_turns_is_found(spark):
     got = {r.conv_id: r for r in chat.formatted(df, late).collect()}
     assert got[1].rewrites == [65] and got[2].rewrites == []
     assert got[1].turn_spans[0] is None and got[1].formatted == late([r[2:] for r in rows[:70]])
-    assert [got[1].formatted[a:b] for a, b in got[1].loss_spans] == ["t67", "t69"]
+    assert [got[1].formatted[a:b] for a, b in got[1].loss_spans] == ["t65", "t67", "t69"]
     assert [got[2].formatted[a:b] for a, b in got[2].loss_spans] == ["x", "x", "x"]
 
     class Late(chat.MarkedTemplate):
