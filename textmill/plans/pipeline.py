@@ -22,7 +22,6 @@ from ..sources import files
 from ..types import Chunk, ChunkMetadata, PipelineStats
 
 Progress = Callable[[str, int, int], None]
-PLACE = ("source_document", "chunk_index", "start_offset", "end_offset")
 
 
 def active_session() -> SparkSession:
@@ -56,10 +55,11 @@ class PipelineResult:
     @cached_property
     def stats(self) -> PipelineStats:
         with spark_job("stats"):
-            return PipelineStats(**self.stats_table.first().asDict())
+            return PipelineStats.of(self.stats_table.first())
 
     @cached_property
     def _rows(self) -> list:
+        """All chunks, on the driver: for results that fit there. chunk_table doesn't."""
         with spark_job("chunks"):
             return self.chunk_table.orderBy("index").collect()
 
@@ -71,11 +71,11 @@ class PipelineResult:
     def scored_chunks(self) -> list[Chunk]:
         if not self.scored:
             return []
-        return [Chunk(r.text, r.tokens, r.score, list(r.warnings), *(r[c] for c in PLACE)) for r in self._rows]
+        return [Chunk.of(r) for r in self._rows]
 
     @property
     def chunk_metadata(self) -> list[ChunkMetadata]:
-        return [ChunkMetadata(*(r[c] for c in PLACE)) for r in self._rows]
+        return [ChunkMetadata.of(r) for r in self._rows]
 
     @cached_property
     def warnings(self) -> list[str]:
