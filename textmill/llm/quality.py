@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
-from .shared import checkpointed, drawn, held_out
+from .shared import checkpointed, drawn, held_out, release
 
 PASSAGE = 64
 CLASSES = 9
@@ -246,6 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, per_text: int
     size = np.array([len(c) // 4 for c in rows.column("count").to_pylist()], np.int64)
     bounds = lambda n: np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
     odds = totals.get(1, 0) / totals[0] if totals.get(0) and totals.get(1) else None
+    release(docs.sparkSession)
     return fit_bags((whole("x", np.float32).reshape(-1, DIM), whole("token", np.int32), bounds(count), bounds(size)), rows.column("quality").to_numpy(), odds)
 
 
