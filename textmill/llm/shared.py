@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import zlib
 from collections.abc import Iterator
@@ -28,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not str(sc.master).startswith("local") or str(sc.master).startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="textmill-checkpoint-"))
         named = sc.getCheckpointDir()
     elif sc.getCheckpointDir() is None:
@@ -36,9 +40,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffles and checkpoints that nothing refers to any more."""
+    """Let Spark delete the shuffles and checkpoints that nothing refers to any more, and
+    give the memory that this process has freed back to the system."""
     gc.collect()
     spark._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library, which has no such call
+            pass
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
