@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not str(sc.master).startswith("local"):
+        if not named and (not str(sc.master).startswith("local") or str(sc.master).startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="textmill-"))
     return sc.getCheckpointDir()
