@@ -44,6 +44,13 @@ def _clamped(x: float) -> float:
     return 1.0 if math.isnan(x) else max(0.0, min(1.0, x))
 
 
+def _round3(x: float) -> float:
+    """Three decimals, halves of the product by 1,000 away from zero, as round3 and SQL
+    have it; x is not negative."""
+    whole = math.floor(x * 1000.0)
+    return (whole + (x * 1000.0 - whole >= 0.5)) / 1000.0
+
+
 def blend(base: float, text: str, scorers: Scorers) -> float:
     """The base score with the custom ones. A scorer that fails counts as 0.5."""
     total = max(0.0, 1.0 - min(sum(w for _, w, _ in scorers), 1.0)) * base
@@ -53,7 +60,7 @@ def blend(base: float, text: str, scorers: Scorers) -> float:
         except Exception:  # noqa: BLE001 - any failure of a user's scorer is neutral
             value = 0.5
         total += weight * value
-    return round(_clamped(total), 3)
+    return _round3(_clamped(total))
 
 
 def _blended(scorers: Scorers):
