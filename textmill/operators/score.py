@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions.shipping import by_value
-from ..functions.text import normalize_for_dedupe, word_count
+from ..functions.text import count_of, kept_words, letters_of, lowered, normalize_whitespace
 from .tables import fresh, lookup
 
 Scorers = list[tuple[str, float, Callable[[str], float]]]
@@ -84,12 +84,15 @@ def score(chunks: DataFrame, scorers: Scorers | None = None, scope: str | None =
     warnings of chunks are replaced."""
     by = [scope] if scope else []
     scorers = registered_scorers() if scorers is None else scorers
-    k0, k1, n, density, structure, plate = fresh(chunks, "norm0", "norm1", "copies", "density", "structure", "plate")
-    norm = normalize_for_dedupe(F.col("text"))
-    keyed = chunks.withColumns({k0: F.xxhash64(norm), k1: F.xxhash64(F.lit("n"), norm)})  # 128 bits
-    often = keyed.groupBy(*by, k0, k1).agg(F.count("*").alias(n)).where(F.col(n) > 1)
+    k0, k1, n, flat, low, letters, density, structure, plate = fresh(chunks, "norm0", "norm1", "copies", "flat", "low", "letters", "density", "structure", "plate")
     text = F.col("text")
-    parts = lookup(keyed, often, [*by, k0, k1], n).withColumns({"tokens": word_count(text), density: S.density_score(text), structure: S.structure_score(text), plate: S.is_boilerplate(text)})
+    # What several terms are made of is a column of its own, so it is made once.
+    bare = chunks.withColumns({flat: normalize_whitespace(text), low: lowered(text)})
+    norm = kept_words(F.col(low))
+    keyed = bare.withColumns({k0: F.xxhash64(norm), k1: F.xxhash64(F.lit("n"), norm)})  # 128 bits
+    often = keyed.groupBy(*by, k0, k1).agg(F.count("*").alias(n)).where(F.col(n) > 1)
+    terms = {"tokens": count_of(F.col(flat), F.col(letters)), density: S.density_of(F.col(flat), F.col(letters)), structure: S.structure_score(text), plate: S.holds_terms(F.col(low))}
+    parts = lookup(keyed.withColumn(letters, letters_of(F.col(flat))).withColumns(terms).drop(flat, low, letters), often, [*by, k0, k1], n)
     common = (F.col(n).isNotNull(), F.col(plate))
     out = parts.withColumns(
         {

@@ -28,7 +28,10 @@ def chunk_stats(chunks: DataFrame, *by: str) -> DataFrame:
 
 
 def warning_histogram(scored: DataFrame) -> DataFrame:
-    return scored.select(F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count("*").alias("chunks"))
+    """How many chunks have each warning. Alike arrays are counted first: exploding those
+    of every chunk would have them made once more for a test of their size."""
+    alike = scored.groupBy("warnings").agg(F.count("*").alias("n"))
+    return alike.select(F.explode("warnings").alias("warning"), "n").groupBy("warning").agg(F.sum("n").alias("chunks"))
 
 
 def warning_flags(scored: DataFrame) -> DataFrame:
